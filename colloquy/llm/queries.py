@@ -11,11 +11,12 @@ from .mixing import op9_mixing
 from .pii import op6_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op8_quality_rules
+from .simhash import op3_simhash
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op4_token_counts, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing)
+    for f in (op1_language_id, op3_simhash, op4_token_counts, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
