@@ -13,11 +13,12 @@ from .quality_classifier import op7_quality_classifier
 from .quality_rules import op8_quality_rules
 from .repeats import op2_substring_dedup
 from .simhash import op3_simhash
+from .suffix_index import op5_suffix_dedup
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing)
+    for f in (op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
