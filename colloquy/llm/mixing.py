@@ -73,3 +73,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("th")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: float = CAP) -> DataFrame:
+    """The documents that the mix takes, with their own columns and size, source_size, target and taken (which replace columns of those names)."""
+    new = ("size", "source_size", "target", "taken")
+    turn = Window.partitionBy("mixing__id", "mixing__text").orderBy(F.lit(0))
+    m = mix_sources(docs, weights, share, cap).where("taken > 0").select(F.col("doc_id").alias("mixing__id"), F.col("th").alias("mixing__text"), *new).withColumn("mixing__turn", F.row_number().over(turn))
+    m = m.select(*(F.col(c).alias(f"mix__{c}") for c in m.columns))
+    d = docs.drop(*new).withColumns({"mixing__id": F.col("doc_id").cast("long"), "mixing__text": F.xxhash64("text")}).withColumn("mixing__turn", F.row_number().over(turn))
+    keys = ("mixing__id", "mixing__text", "mixing__turn")
+    same = [F.col(k).eqNullSafe(F.col(f"mix__{k}")) for k in keys]
+    return d.join(m, same[0] & same[1] & same[2]).select(*(c for c in d.columns if c not in keys), *(F.col(f"mix__{c}").alias(c) for c in new))

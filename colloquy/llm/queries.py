@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_decontamination
 from .language_id import op1_language_id
 from .mixing import op9_mixing
 from .pii import op6_pii
@@ -18,7 +19,7 @@ from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing)
+    for f in (op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
