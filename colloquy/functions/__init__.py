@@ -1 +1 @@
-"""See the package README section."""
+"""Column functions: text primitives."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Readers: caption exports, transcripts and notes, and adapters from relational tables."""
