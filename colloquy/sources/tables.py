@@ -52,4 +52,4 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_id", F.col("event_type").alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value")
 
 
-SIGNALS_SQL = "signals as (select user_id as session, event_id, event_type as kind, epoch_ms(ts) as ms, value from events)"
+SIGNALS_SQL = "signals as (select user_id as session, event_id, event_type as kind, epoch_us(ts) // 1000 as ms, value from events)"
