@@ -2,7 +2,7 @@
 
 1. Every task counts its windows into a count-min sketch of two rows, and the sketches are merged: a window that starts
    in two documents has both its cells at 2 or more, so an estimate below 2 is always right.
-2. Windows estimated repeated, and no others, are grouped exactly by a 96-bit hash: each group's smallest doc_id keeps them.
+2. Windows estimated repeated, and no others, are grouped exactly by an 80-bit hash: each group's smallest doc_id keeps them.
 3. Words that a removed window covers are cut from their text.
 
 The sketch has a cell for every CELL_BYTES bytes of text, up to MOST_CELLS a row (the repeated ones make a bitmap of 64 MB in all,
@@ -32,7 +32,9 @@ CELL_BYTES = 4
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 BLOCK_BITS = 20
 #: Windows that a task holds before it sends what it has.
-FLUSH = 1 << 21
+FLUSH = 1 << 22
+#: A candidate's second hash (16 bits), its first word and whether it is sure share one long, to keep the shuffle small.
+TAG_AT = 32
 _ROW = random_words(301, 4)
 
 
@@ -45,7 +47,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     h, own = word_hashes(data, offsets)
     n = len(h) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k, (p, q) in enumerate(zip(*multipliers(window), strict=True)):
         part = h[k : k + n]
@@ -54,7 +56,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     whole = own[:n] == own[window - 1 :]
     first = np.searchsorted(own, np.arange(len(offsets)))
     at = np.arange(n) - first[own[:n]]
-    return mix(a)[whole], (mix(b) >> np.uint64(32)).astype(np.uint32).view(np.int32)[whole], own[:n][whole], at[whole].astype(np.int32)
+    return mix(a)[whole], (mix(b) >> np.uint64(48)).astype(np.int64)[whole], own[:n][whole], at[whole]
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -139,7 +141,10 @@ def sketch(docs: DataFrame, window: int, bits: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> DataFrame:
-    """(h, tag, doc_id, at, sure) for windows estimated repeated: those a task knows to repeat are sure, of the others each once."""
+    """(h, doc_id, place) for windows estimated repeated; place packs tag, first word and sure.
+
+    Those that a task knows to repeat are sure; of the others it sends what its smallest document has.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +163,10 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> D
             sure = doc > least
             # Sure rows need no group any more: a key of their own spreads them.
             h = np.where(sure, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
+            place = (tag << TAG_AT) | (at << 1) | sure
             for low in range(0, len(h), 1 << 17):
                 cut = slice(low, low + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(tag[cut]), pa.array(doc[cut]), pa.array(at[cut]), pa.array(sure[cut])], names=["h", "tag", "doc_id", "at", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(doc[cut]), pa.array(place[cut])], names=["h", "doc_id", "place"])
 
         n = 0
         for b in batches:
@@ -179,16 +185,16 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> D
                     n = 0
         yield from send()
 
-    return keyed_text(docs).where("doc_id is not null").mapInArrow(run, "h long, tag int, doc_id long, at int, sure boolean")
+    return keyed_text(docs).where("doc_id is not null").mapInArrow(run, "h long, doc_id long, place long")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and cut: the (at, tag) of every window of the document that starts in a document with a smaller id."""
+    """doc_id and cut: the place of every window of the document that starts in a document with a smaller id."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = int(np.ceil(np.log2(min(max(size / CELL_BYTES, LEAST_CELLS), MOST_CELLS))))
-    found = candidates(docs, window, bits, sketch(docs, window, bits))
-    found = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "tag"))).where("sure or doc_id > least")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "tag")).alias("cut"))
+    found = candidates(docs, window, bits, sketch(docs, window, bits)).repartition("h")  # the tag is worked out behind the shuffle
+    found = found.withColumn("tag", F.shiftright("place", TAG_AT)).withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "tag")))
+    return found.where((F.col("place").bitwiseAND(1) == 1) | (F.col("doc_id") > F.col("least"))).groupBy("doc_id").agg(F.collect_list("place").alias("cut"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -196,18 +202,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     bounded_batches(docs.sparkSession)
     cuts = removed_windows(docs, window).withColumnRenamed("doc_id", "cut_id")
     d = keyed_text(docs)
-    j = d.join(cuts, d["doc_id"] == F.col("cut_id"), "left").select("doc_id", "text", F.col("cut.at").alias("at"), F.col("cut.tag").alias("tag"))
+    j = d.join(cuts, d["doc_id"] == F.col("cut_id"), "left").select("doc_id", "text", "cut")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha, kept = [], [], [], []
-            cut_at, cut_tag = b.column(2), b.column(3)
+            cuts_of = b.column(2)
             for i, text in enumerate(b.column(1).to_pylist()):
                 w = words(text)
                 lost = np.zeros(len(w), bool)
-                if cut_at[i].is_valid:
-                    at, tag = (c[i].values.to_numpy() for c in (cut_at, cut_tag))
+                if cuts_of[i].is_valid:
+                    place = cuts_of[i].values.to_numpy()
+                    at, tag = (place & ((1 << TAG_AT) - 1)) >> 1, place >> TAG_AT
                     _, own_tag, _, _ = windows(np.frombuffer(text or b"", np.uint8), np.array([0, len(text or b"")]), window)
                     # Rows may repeat a doc_id with other texts: a cut holds where the text has that window.
                     inside = at < len(own_tag)
