@@ -1 +1,128 @@
-"""Queries to come."""
+"""Evidence ledger queries: orders play items, benchmark items play quotes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import evidence_norm
+from ..operators import ledger as L
+from ..operators.quality import issues
+from ..sources.tables import TURNS_SQL, table, turns
+from .registry import query
+
+NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+#: Orders as ledger items.
+ITEMS_SQL = """items as (select o_custkey as session, o_orderkey as item_id, case o_orderkey % 5 when 0 then 'decision' when 1 then 'commitment' when 2 then 'open_question' when 3 then 'proposal' else 'fact' end as type,
+  'Item ' || o_orderpriority || ' ' || (o_orderkey % 3) as claim, case o_orderstatus when 'F' then 'completed' when 'O' then 'active' else 'pending' end as status, case when o_orderkey % 4 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as deadline,
+  case when o_orderkey % 7 = 0 then 0 else o_orderkey % 1000 end as source_order, o_orderkey % 3 as n_evidence, case when o_orderkey % 2 = 0 then ['Clerk ' || o_custkey % 10] else cast([] as varchar[]) end as owners, o_totalprice > 250000 as is_accepted from orders)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("session"), k.alias("item_id"), F.element_at(F.array(*map(F.lit, ("decision", "commitment", "open_question", "proposal", "fact"))), (k % 5 + 1).cast("int")).alias("type"),
+        F.concat(F.lit("Item "), "o_orderpriority", F.lit(" "), k % 3).alias("claim"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "active").otherwise("pending").alias("status"),
+        F.when(k % 4 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("deadline"), F.when(k % 7 == 0, 0).otherwise(k % 1000).cast("long").alias("source_order"), (k % 3).alias("n_evidence"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("Clerk "), F.col("o_custkey") % 10))).otherwise(F.array().cast("array<string>")).alias("owners"), (F.col("o_totalprice") > 250_000).alias("is_accepted"),
+    )
+
+
+@query(f"""with b as (select item_id, {NORM.format("text")} as q from benchmark), d as (select doc_id, {NORM.format("text")} as n from documents) select b.item_id, count(*) as documents, min(doc_id) as first_doc from b join d on contains(d.n, b.q) group by 1""")
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark texts stand verbatim in a document: the quotes are a checked, small side; documents are scanned once."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", evidence_norm(F.col("text")).alias("q")).where("q != ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", evidence_norm(F.col("text")).alias("n")).select("doc_id", "n", F.split("n", " ").alias("words"))
+    # The first four words of a quote find its candidates by an equi-join; substring tests follow on those only.
+    head = F.array_join(F.slice(F.split("q", " "), 1, 4), " ")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 4, F.lit(0))), lambda i: F.concat_ws(" ", *(F.get("words", i + k) for k in range(4)))))
+    # Heads find (document, quote) pairs; only those documents' texts are joined back for the substring test.
+    heads = d.select("doc_id", F.explode(grams).alias("head")).join(quotes.withColumn("head", head), "head").select("doc_id", "item_id", "q").distinct()
+    hit = heads.join(d.select("doc_id", "n"), "doc_id").where(F.contains("n", F.col("q")))
+    return hit.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""with {TURNS_SQL}, l as (select session, ord, speaker, {NORM.format("text")} as n, ord * 10 as ts from turns), p as (select session, ord as item_id, trim(array_to_string(list_slice(string_split(n, ' '), 1, 2), ' ')) as q, case when ord % 2 = 0 then ord * 10 else -1 end as asked from l where n <> ''),
+ h as (select p.*, l.ord, l.speaker, l.ts from p join l on p.session = l.session and contains(l.n, p.q)), g as (select session, item_id, count(*) as n, count(*) filter (ts = asked) as n_at, count(distinct lower(speaker)) as s, count(distinct lower(speaker)) filter (ts = asked) as s_at,
+  min(ord) filter (ts = asked) as o_at, min(ord) as o, arg_min(speaker, ord) filter (ts = asked) as sp_at, arg_min(speaker, ord) as sp from h group by 1, 2)
+select session, item_id, case when n_at = 1 then o_at when n = 1 then o end as line, case when s_at = 1 then sp_at when s = 1 then sp when n_at = 1 then sp_at when n = 1 then sp end as speaker from g""")
+def unique_speaker_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every turn as its quote; half of them know their time."""
+    t = turns(spark, sf_dir)
+    lines = t.select("session", F.col("ord").alias("line"), (F.col("ord") * 10).cast("string").alias("timestamp"), "speaker", "text")
+    q = F.array_join(F.slice(F.split(evidence_norm(F.col("text")), " "), 1, 2), " ")
+    proofs = t.where(evidence_norm(F.col("text")) != "").select("session", F.col("ord").alias("item_id"), F.lit(0).alias("proof_ord"), q.alias("quote"), F.when(F.col("ord") % 2 == 0, (F.col("ord") * 10).cast("string")).otherwise("-1").alias("timestamp"))
+    return L.anchors(proofs, lines).select("session", "item_id", "line", "speaker")
+
+
+@query(r"""with t as (select doc_id, text, regexp_extract_all(text, '(^|[^\p{L}\p{N}_])(\d{1,4}([.,]\d+)?)', 2) as n from documents)
+select doc_id, array_to_string(list_sort(list_distinct(list_transform(n, lambda x: 'number:' || replace(x, ',', '.')))), ' ') as tokens from t where len(n) > 0""")
+def claim_tracked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers a claim would have to support; the weekday words don't occur in these texts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", L.tracked_tokens(F.col("text")).alias("t"))
+    return d.where(F.size("t") > 0).select("doc_id", F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then 'Ship ' || o_custkey || ' units' when 1 then 'Ship units, soon' else '' end as claim from orders""")
+def claim_token_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supported numbers stay, an unsupported aside goes, an unsupported number empties the claim."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    claim = F.when(k % 3 == 0, F.concat(F.lit("Ship "), c, F.lit(" units"))).when(k % 3 == 1, F.lit("Ship units (by 7777 pm) , soon")).otherwise("Ship 8888 units")
+    support = F.concat(F.lit("we ship "), c, F.lit(" units"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", L.grounded_claim(claim, support).alias("claim"))
+
+
+@query("""with t as (select doc_id, substr(text, 1, 60) as c, substr(text, 61, 200) as q from documents), r as (select *, length(regexp_replace(c, '[^äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as own, length(regexp_replace(c, '[^A-Za-zäöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as every, trim(regexp_replace(q, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) as quote from t)
+select doc_id, case when every > 0 and own < 0.05 * every and regexp_matches(quote, '[äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]') then upper(substr(quote, 1, 1)) || substr(quote, 2) else c end as claim from r""")
+def language_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accented letters as the script asked for."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("c"), F.array(F.substring("text", 61, 200)).alias("q"))
+    return d.select("doc_id", L.grounded_language(F.col("c"), F.col("q"), "äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ", 0.05).alias("claim"))
+
+
+@query(f"""with d as (select doc_id, lang, list_distinct(list_filter(string_split({NORM.format("text")}, ' '), lambda x: x <> '')) as t from documents where length(text) between 100 and 3000)
+select a.lang, a.doc_id as a, b.doc_id as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from d a join d b on a.lang = b.lang and a.doc_id < b.doc_id and len(a.t) >= 0.84 * len(b.t) and len(b.t) >= 0.84 * len(a.t) and len(list_intersect(a.t, b.t)) >= 0.84 * len(list_distinct(list_concat(a.t, b.t)))""")
+def claim_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims are texts of 100 to 3000 characters, as long as a claim gets; they are compared within a language."""
+    d = table(spark, sf_dir, "documents").where(F.length("text").between(100, 3000)).select("lang", F.col("doc_id").alias("item_id"), F.col("text").alias("claim"))
+    return L.duplicate_pairs(d, 0.84, ["lang"]).select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""with {ITEMS_SQL}, r as (select *, row_number() over (partition by session, claim order by case type when 'decision' then 90 when 'commitment' then 80 when 'open_question' then 70 when 'proposal' then 60 else 50 end desc, case status when 'active' then 4 when 'open' then 3 when 'completed' then 2 else 0 end desc, n_evidence desc, source_order desc, item_id) as k from items)
+select session, claim, max(item_id) filter (k = 1) as survivor, count(*) as merged, sum(n_evidence)::bigint as n_evidence, min(source_order) filter (source_order > 0) as source_order from r group by 1, 2""")
+def ledger_survivor_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.survivors(_items(spark, sf_dir), ["session", "claim"])
+
+
+@query(f"""with {ITEMS_SQL}, c as (select session, item_id, type, case when type = 'decision' then 'active' when type in ('commitment', 'open_question', 'proposal') then case status when 'completed' then 'completed' else 'open' end else case status when 'pending' then 'active' else status end end as status, is_accepted from items)
+select session, item_id, case when type = 'decision' and not is_accepted then 'proposal' else type end as type, case when type = 'decision' and not is_accepted then 'open' else status end as status from c""")
+def lifecycle_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status coercion, then the lifecycle: an accepted decision has a quote with an acceptance cue."""
+    d = _items(spark, sf_dir).withColumn("status", L.coerced_status(F.col("type"), F.col("status"))).withColumn("quotes", F.array(F.when(F.col("is_accepted"), "Так, вирішено.").otherwise("Може бути.")))
+    return L.lifecycle(d).select("session", "item_id", "type", "status")
+
+
+@query(f"""with {ITEMS_SQL} select session, item_id, unnest(list_filter([case when type = 'decision' and status = 'active' and not is_accepted then 'unaccepted_decision:error' end, case when type = 'commitment' and status = 'active' and len(owners) = 0 then 'missing_owner:warning' end,
+ case when n_evidence > 0 and source_order = 0 then 'missing_source_anchor:warning' end, case when item_id % 11 = 0 then 'ambiguous_deadline:warning' end], lambda x: x is not null)) as finding from items join customer on session = c_custkey""")
+def summary_qa_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _items(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session")), "session", "left_semi")
+    d = d.withColumn("status", F.when((F.col("type") == "commitment") & (F.col("status") == "active"), "open").otherwise(F.col("status"))).withColumn("deadline_ambiguous", F.col("item_id") % 11 == 0)
+    return issues(d, L.qa_findings(), ["session", "item_id"]).select("session", "item_id", F.concat_ws(":", "code", "severity").alias("finding"))
+
+
+@query(f"""with {ITEMS_SQL}, r as (select session, item_id, row_number() over (partition by session order by case source_order when 0 then 1000000000 else source_order end, item_id) - 1 as pos, count(*) over (partition by session) as n from items)
+select session, item_id, pos as "at" from r where n <= 5 or list_contains(list_transform(range(0, 5), lambda i: round_even(i * (n - 1) / 4.0, 0)::int), pos::int)""")
+def diverse_timeline_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.even_picks(_items(spark, sf_dir)).select("session", "item_id", F.col("at").cast("long").alias("at"))
+
+
+@query(f"""with {ITEMS_SQL}, r as (select session, item_id, row_number() over (partition by session order by case source_order when 0 then 1000000000 else source_order end, item_id) as nth from items where type in ('decision', 'commitment') and status <> 'superseded') select session, item_id, nth from r where nth <= 10""")
+def template_items_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.top_items(_items(spark, sf_dir), ["decision", "commitment"]).select("session", "item_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""with {ITEMS_SQL}, n as (select *, case source_order when 0 then 1000000000 else source_order end as o, row_number() over (partition by session, type, {NORM.format("claim")} order by case source_order when 0 then 1000000000 else source_order end, item_id) as nth from items where type in ('decision', 'commitment', 'open_question')),
+ s as (select session, type, case type when 'decision' then 0 when 'commitment' then 1 else 2 end as place, string_agg('- ' || case when type = 'commitment' and len(owners) > 0 then '[' || array_to_string(owners, ', ') || '] ' else '' end || claim || case when type = 'commitment' and deadline <> '' then ' — дедлайн: ' || deadline else '' end, chr(10) order by o, item_id) as body from n where nth = 1 group by 1, 2, 3)
+select session, string_agg(case type when 'decision' then '## Рішення' when 'commitment' then '## Action items' else '## Відкриті питання' end || chr(10) || body, chr(10) || chr(10) order by place) as body from s group by 1""")
+def section_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.render_sections(_items(spark, sf_dir), {"decision": "## Рішення", "commitment": "## Action items", "open_question": "## Відкриті питання"})
