@@ -1 +1,37 @@
-"""Queries to come."""
+"""Streaming queries over the event table as a file stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import SIGNALS_SQL
+from ..streaming import captions as C
+from .clean import VERSIONS_SQL
+from .registry import query
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.file_stream(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), F.col("event_id").alias("ord"), F.floor(F.col("value") * 100).cast("long").alias("version"), F.col("event_id").cast("string").alias("text"), F.col("ts").cast("timestamp").alias("at"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+
+
+@query(VERSIONS_SQL)
+def stream_version_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed state of a stream gives what the batch window gives."""
+    return C.latest(C.drained(C.version_upserts(_events(spark, sf_dir).drop("at")), "upserts", "update"))
+
+
+@query(f"with {SIGNALS_SQL} select session, kind as key, count(*) as n from (select distinct session, kind, ms // 86400000 as day from signals) group by 1, 2")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a user, type and day."""
+    e = _events(spark, sf_dir).withColumn("day", F.floor(F.col("at_ms") / 86_400_000))
+    return C.drained(C.first_seen(e, ["session", "key", "day"], "40 days").select("session", "key", "day"), "seen").groupBy("session", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {SIGNALS_SQL}, u as (select user_id as session, event_type as key, epoch_us(ts) as us from events), a as (select *, case when us - lag(us) over (partition by session, key order by us) < 43200000000 then 0 else 1 end as cut from u),
+ b as (select *, sum(cut) over (partition by session, key order by us rows unbounded preceding) as run from a) select session, key, count(*) as events, min(us) // 1000 as first_ms, max(us) // 1000 as last_ms from b group by session, key, run""")
+def stream_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve hours of inactivity close an utterance."""
+    d = C.drained(C.finalised(_events(spark, sf_dir), "12 hours", "40 days"), "utterances", "complete")
+    return d.select("session", "key", "events", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("last_at").alias("last_ms"))

@@ -1 +1 @@
-"""See the package README section."""
+"""Structured Streaming: captions by version, deduplication, finalisation, session upserts."""
