@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed limits of the speech model's own scores.
 NO_SPEECH_SURE, NO_SPEECH, LOW_LOGPROB, LOOP_LOGPROB, LOOP_RATIO = 0.75, 0.60, -0.5, -1.0, 2.8
@@ -66,7 +67,7 @@ def leaks(mic: DataFrame, system: DataFrame, window_ms: int, same: Column) -> Da
     return mic.join(gone, ["session", "id"], "left_anti")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; the order of the arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import exports as X
 from ..sources import notes as N
@@ -62,7 +63,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SIGNALS_SQL} select '@dev' || session as device_id, event_id || '/@dev' || session as message_id, event_id % 5 as version, 1 as n from signals where event_id % 7 <> 0""")
 def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events encoded as caption packets and decoded again; every seventh one is cut off and gives nothing."""
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def packet(session: pd.Series, event: pd.Series, kind: pd.Series) -> pd.Series:
         whole = [P.encode((1, P.encode((1, f"dev{s}"), (2, int(e)), (3, int(e) % 5), (6, k), (8, 1)))) for s, e, k in zip(session, event, kind, strict=True)]
         return pd.Series([w[:-3] if e % 7 == 0 else w for w, e in zip(whole, event, strict=True)])

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_INFLATED = 1 << 20
 GZIP = b"\x1f\x8b\x08"
@@ -129,7 +130,11 @@ def shape(data: bytes, depth: int = 5, most: int = 48) -> list[str]:
     return out
 
 
-@F.pandas_udf("struct<device_id:string,message_id:string,version:long,language:long,text:string>")
+CAPTION = T.StructType([T.StructField("device_id", T.StringType()), T.StructField("message_id", T.StringType()), T.StructField("version", T.LongType()), T.StructField("language", T.LongType()), T.StructField("text", T.StringType())])
+DEVICES = T.ArrayType(T.StructType([T.StructField("device_id", T.StringType()), T.StructField("name", T.StringType())]))
+
+
+@F.pandas_udf(CAPTION)
 def decode_captions(packets: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Captions of a column of packets; all null where a packet holds none."""
     for s in packets:
@@ -137,7 +142,7 @@ def decode_captions(packets: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([r or (None,) * 5 for r in rows], columns=["device_id", "message_id", "version", "language", "text"]).astype({"version": "Int64", "language": "Int64"})
 
 
-@F.pandas_udf("array<struct<device_id:string,name:string>>")
+@F.pandas_udf(DEVICES)
 def decode_devices(packets: pd.Series) -> pd.Series:
     return packets.map(lambda p: [{"device_id": a, "name": b} for a, b in devices(d)] if p and (d := inflate(bytes(p))) else [])
 
