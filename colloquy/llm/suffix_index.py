@@ -185,7 +185,7 @@ def bitmaps(matched: DataFrame, hot: int) -> tuple[int, np.ndarray]:
             if not b.num_rows:
                 continue
             h = string_hashes(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8), KEY)[::KEY]
-            c = (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+            c = cells_of(h, bits)
             yield pa.RecordBatch.from_arrays([pa.array((c >> block).astype(np.int32)), pa.array((c & ((1 << block) - 1)).astype(np.int32)), b.column(1)], names=["block", "cell", "hot"])
 
     def fill(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +213,11 @@ def bitmaps(matched: DataFrame, hot: int) -> tuple[int, np.ndarray]:
     return bits, out.reshape(2, -1)
 
 
+def cells_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """Cells by another hash than the one that picks anchors: that one is small at every anchor."""
+    return (mix(h * _BASE + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _holds(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
@@ -260,7 +265,7 @@ def surroundings(docs: DataFrame, length: int, bits: int, marks: np.ndarray) ->
             ids, ths = b.column(0).to_pylist(), b.column(2).to_pylist()
             for row, place, data, offsets in parts(b.column(1).to_pylist(), length):
                 first, last, _, h = anchors(data, offsets, length)
-                cell = (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+                cell = cells_of(h, bits)
                 may = np.flatnonzero(_holds(matched, cell))
                 if not len(may):
                     continue
