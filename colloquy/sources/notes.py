@@ -28,7 +28,7 @@ def field(markdown: Column, label: str) -> Column:
 
 def section(markdown: Column, heading: str) -> Column:
     """What stands under a second-level heading, up to the next one."""
-    return F.trim(F.regexp_extract(markdown, rf"(?ms)^##\s+\Q{heading}\E\s*$\n(.*?)(?=^##\s|\z)", 1))
+    return F.regexp_replace(F.regexp_extract(markdown, rf"(?ms)^##\s+\Q{heading}\E\s*$\n(.*?)(?=^##\s|\z)", 1), r"^\s+|\s+$", "")
 
 
 def bullets(markdown: Column, label: str) -> Column:
