@@ -1,16 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Texts are cut into passages of PASSAGE words, each beginning half a passage after the one before. A passage is a TF-IDF vector over the
-   terms of the benchmark; document frequencies count all passages of all documents.
-2. One more pass adds up Y = A'A R for the passage matrix A and a random R, task by task and then term by term; with the benchmark's own
-   passages added at equal weight, a Nystroem step on Y gives the leading right singular vectors (randomised SVD).
-3. Benchmark and passage vectors are projected there. A passage whose cosine with a benchmark passage reaches MIN_COSINE
-   is a candidate.
+1. A passage of PASSAGE words is a TF-IDF vector over the terms of the benchmark; document frequencies count all passages that
+   tile all documents.
+2. One more pass over these adds up Y = A'A R for the passage matrix A and a random R, task by task and then term by term; with the
+   benchmark's own passages added at equal weight, a Nystroem step on Y gives the leading right singular vectors (randomised SVD).
+3. Benchmark passages and text passages, now each beginning half a passage after the one before, are projected there. One
+   whose cosine with a benchmark passage reaches MIN_COSINE is a candidate.
 4. Around a candidate the longest common subsequence of words with the whole item is measured. It is a leak if it covers STRONG of
    the item, or WEAK of it while the item's answer (its last line or sentence) is there to ANSWER.
 
-The benchmark is the query set: it goes to the tasks in blocks of BLOCK_ITEMS items, one pass of the documents each, so what is
-broadcast has a bound. Null or empty texts and items leak nothing. Repeated rows are judged alike, each on its own;
+The benchmark is the query set: it goes to the tasks in blocks of at most BLOCK_TERMS terms, each with passes of its own over the
+documents, so what is broadcast and what a task adds up (terms by terms) has a bound. Null or empty texts and items leak nothing. Repeated rows are judged alike, each on its own;
 of repeated item ids all texts count. Other columns are kept. Empty tables give an empty result.
 """
 
@@ -28,12 +28,14 @@ from .common import bounded_batches, documents, text_groups, word_hashes
 
 PASSAGE = 64
 HALF = PASSAGE // 2
-BLOCK_ITEMS = 1000
-MOST_RANK, OVERSAMPLE = 256, 24
+BLOCK_TERMS = 6000
+MOST_RANK, OVERSAMPLE = 256, 8
 MIN_COSINE = 0.35
 STRONG, WEAK, ANSWER = 0.75, 0.5, 0.8
 #: Terms in more passages than e ** -MIN_IDF of all tell little; they count only for items that have few others.
-MIN_IDF, MIN_TERMS = 1.5, 4
+MIN_IDF, MIN_TERMS = 3.5, 4
+#: Latent weights of a term below this share of its idf are taken for none.
+LEAST_SHARE = 0.002
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType())]))
 #: Lower case for A-Z, a space for every other ASCII character that is neither letter nor digit.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -70,33 +72,24 @@ def terms_of(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1)
 
 
-def halves(own: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words of some texts: the half passage that each is in, the text of each half, and which halves begin a text.
-
-    Passage k is half k and, if that is of the same text, half k + 1.
-    """
+def pieces(own: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of some texts: the piece of `size` words that each is in, the text of each piece, and the first piece of each text."""
     first = np.searchsorted(own, np.arange(rows))
-    words = np.diff(np.append(first, len(own)))
-    n = -(-words // HALF)
+    n = -(-np.diff(np.append(first, len(own))) // size)
     begins = np.cumsum(n) - n
-    half = begins[own] + (np.arange(len(own)) - first[own]) // HALF
-    return half, np.repeat(np.arange(rows), n), begins
+    return begins[own] + (np.arange(len(own)) - first[own]) // size, np.repeat(np.arange(rows), n), begins
 
 
-def passages(half: np.ndarray, text_of: np.ndarray, t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, weight) of all terms in all passages, weights of a passage having length 1. A lone last half adds no passage of its own."""
-    n = len(text_of)
-    inner = np.append(text_of[1:] == text_of[:-1], False) if n else np.zeros(0, bool)
-    alone = ~inner & ~np.concatenate([[False], inner[:-1]]) if n else inner  # a text of one half
+def weighted(p: np.ndarray, t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, term, weight), each term of a passage once, in order; weights of a passage have length 1."""
     on = t >= 0
-    half, t = half[on], t[on]
-    as_first, as_second = inner[half] | alone[half], (half > 0) & inner[half - 1]
-    p, t = np.concatenate([half[as_first], half[as_second] - 1]), np.concatenate([t[as_first], t[as_second]])
-    key = np.unique(p * max(len(idf), 1) + t)  # a term counts once a passage
+    on[on] = idf[t[on]] > 0
+    key = np.unique(p[on] * max(len(idf), 1) + t[on])
     p, t = key // max(len(idf), 1), key % max(len(idf), 1)
+    if not len(p):
+        return p, t, np.zeros(0)
     w = idf[t]
-    norm = np.sqrt(np.bincount(p, weights=w * w, minlength=n))
-    return p, t, w / np.maximum(norm[p], 1e-12)
+    return p, t, w / np.sqrt(np.bincount(p, weights=w * w))[p]
 
 
 class Items:
@@ -161,9 +154,8 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         ones = np.ones(len(v))
         for b in batches:
             for first, last, h, own in _groups(b, "text"):
-                half, text_of, _ = halves(own, last - first)
-                p, t, _ = passages(half, text_of, terms_of(h, v), ones)
-                df[:-1] += np.bincount(t, minlength=len(v))
+                p, text_of, _ = pieces(own, last - first, PASSAGE)
+                df[:-1] += np.bincount(weighted(p, terms_of(h, v), ones)[1], minlength=len(v))
                 df[-1] += len(text_of)
         hit = np.flatnonzero(df)
         yield hit, np.column_stack([df[hit] // 4096, df[hit] % 4096])  # float32 keeps both parts whole
@@ -186,24 +178,22 @@ def singular_vectors(docs: DataFrame, items: Items, idf: np.ndarray, seed: int =
 
     def emit(batches: Iterator[pa.RecordBatch]):
         v, w, start = shared.value
-        y, mass = np.zeros(start.shape, np.float32), 0.0
+        n, mass = len(w), 0.0
+        gram = np.zeros(n * n, np.float32)  # A'A of this task: far fewer sums than A R, and A'A R is one product in the end
         for b in batches:
             for first, last, h, own in _groups(b, "text"):
-                half, text_of, _ = halves(own, last - first)
-                t = terms_of(h, v)
-                t[(t >= 0) & (w[t] == 0)] = -1
-                p, t, a = passages(half, text_of, t, w)
-                if not len(p):
-                    continue
-                new = np.concatenate([[True], p[1:] != p[:-1]])
-                ar = np.add.reduceat(start[t] * a[:, None].astype(np.float32), np.flatnonzero(new))
-                order = np.argsort(t, kind="stable")
-                begins = np.flatnonzero(np.concatenate([[True], t[order][1:] != t[order][:-1]]))
-                y[t[order][begins]] += np.add.reduceat(ar[(np.cumsum(new) - 1)[order]] * a[order, None].astype(np.float32), begins)
-                mass += float(new.sum())
+                p, t, a = weighted(pieces(own, last - first, PASSAGE)[0], terms_of(h, v), w)
+                for apart in range(len(p)):
+                    both = np.flatnonzero(p[apart:] == p[: len(p) - apart])
+                    if not len(both):
+                        break
+                    np.add.at(gram, t[both] * n + t[both + apart], (a[both] * a[both + apart]).astype(np.float32))
+                mass += float(len(np.unique(p)))
+        gram = gram.reshape(n, n)
+        y = gram @ start + gram.T @ start - gram.diagonal()[:, None] * start
         hit = np.flatnonzero(y.any(1))
         yield hit, y[hit]
-        yield np.array([len(w)]), np.full((1, start.shape[1]), mass, np.float32)
+        yield np.array([n]), np.full((1, start.shape[1]), mass, np.float32)
 
     y, mass = np.zeros(r.shape), 0.0
     for k, row in _sums(docs, emit).items():
@@ -226,46 +216,52 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") ->
     bounded_batches(spark)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
     held: list[tuple[int, bytes]] = []
+    terms: set[int] = set()
     out = docs.withColumn(column, F.array().cast(FOUND))
-    k = 0
     for r in rows.orderBy("item_id").toLocalIterator():
+        new = set(hashed(bytes(r["text"])).tolist())
+        if held and len(terms | new) > BLOCK_TERMS:
+            out, held, terms = _block(docs, out, Items(held), column), [], set()
         held.append((r["item_id"], bytes(r["text"])))
-        if len(held) == BLOCK_ITEMS:
-            out, held, k = _block(docs, out, Items(held), column, k), [], k + 1
-    return _block(docs, out, Items(held), column, k) if held else out
+        terms |= new
+    return _block(docs, out, Items(held), column) if held else out
 
 
-def _block(docs: DataFrame, out: DataFrame, items: Items, column: str, k: int) -> DataFrame:
+def _block(docs: DataFrame, out: DataFrame, items: Items, column: str) -> DataFrame:
     if not len(items.vocabulary):
         return out
     idf = items.weigh(*frequencies(docs, items.vocabulary))
     v = singular_vectors(docs, items, idf)
     q = items.matrix(idf) @ v
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), (v * idf[:, None]).astype(np.float32), q.astype(np.float32)))
+    latent = (v * idf[:, None]) @ q.T  # what one word of a term adds to the product with each query, in the latent space
+    latent[np.abs(latent) < LEAST_SHARE * idf[:, None]] = 0
+    term, query = np.nonzero(latent)
+    shared = docs.sparkSession.sparkContext.broadcast((items, idf, np.searchsorted(term, np.arange(len(idf) + 1)), query, latent[term, query]))
     helper = f"{column}__text"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, v, q = shared.value
-        item_of = np.array([i for i, _ in items.queries])
+        items, idf, begin, query, gain = shared.value
+        item_of, n_q = np.array([i for i, _ in items.queries]), len(items.queries)
         for b in batches:
             found: list[dict[int, tuple[float, float]]] = [{} for _ in range(b.num_rows)]
             for first, last, h, own in _groups(b, helper):
-                half, text_of, begins = halves(own, last - first)
+                half, text_of, begins = pieces(own, last - first, HALF)
                 t = terms_of(h, items.vocabulary)
-                t[(t >= 0) & (idf[t] == 0)] = -1
                 on = t >= 0
+                on[on] = idf[t[on]] > 0
                 if not on.any():
                     continue
-                hs = half[on]
-                cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                s, n2 = np.zeros((len(text_of), v.shape[1]), np.float32), np.zeros(len(text_of), np.float32)
-                s[hs[cut]] = np.add.reduceat(v[t[on]], cut)
-                n2[hs[cut]] = np.add.reduceat(idf[t[on]] ** 2, cut)
-                inner = np.append(text_of[1:] == text_of[:-1], False)
-                s[:-1] += np.where(inner[:-1, None], s[1:], 0)
-                n2[:-1] += np.where(inner[:-1], n2[1:], 0)
-                cos = (s / np.sqrt(np.maximum(n2, 1e-9))[:, None]) @ q.T
+                t, hs = t[on], half[on]
+                n = begin[t + 1] - begin[t]
+                at = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                product = np.bincount(np.repeat(hs, n) * n_q + query[at], weights=gain[at], minlength=len(text_of) * n_q).reshape(-1, n_q)
+                norm2 = np.bincount(hs, weights=idf[t] ** 2, minlength=len(text_of))
+                # a passage is a half and the next one of its text
+                inner = text_of[1:] == text_of[:-1]
+                product[:-1] += np.where(inner[:, None], product[1:], 0)
+                norm2[:-1] += np.where(inner, norm2[1:], 0)
+                cos = product / np.sqrt(np.maximum(norm2, 1e-9))[:, None]
                 word_at = np.searchsorted(own, np.arange(last - first + 1))
                 for p, j in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
                     row, item = int(text_of[p]), int(item_of[j])
@@ -280,7 +276,7 @@ def _block(docs: DataFrame, out: DataFrame, items: Items, column: str, k: int) -
                     known = items.answers[item]
                     if lcs >= STRONG or (lcs >= WEAK and len(known) and common_length(known, near) >= ANSWER * len(known)):
                         before = found[first + row].get(item, (0.0, 0.0))
-                        found[first + row][item] = max(before[0], float(cos[p, j])), max(before[1], lcs)
+                        found[first + row][item] = min(1.0, max(before[0], float(cos[p, j]))), max(before[1], lcs)
             at = b.schema.get_field_index
             old = b.column(at(column)).to_pylist()
             new = [[*o, *({"item_id": items.ids[i], "cosine": c, "lcs": x} for i, (c, x) in sorted(f.items()))] for o, f in zip(old, found, strict=True)]
