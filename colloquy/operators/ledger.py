@@ -68,22 +68,31 @@ def anchors(proofs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def tracked_tokens(text: Column) -> Column:
     """number:<n> and weekday:<name> of a text: what a claim may not invent."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)(\d{1,4}(?:[.,]\d+)?)"), F.lit(1)), lambda n: F.concat(F.lit("number:"), F.replace(n, F.lit(","), F.lit("."))))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?=\d)(?<!\w)(\d{1,4}(?:[.,]\d+)?)"), F.lit(1)), lambda n: F.concat(F.lit("number:"), F.replace(n, F.lit(","), F.lit("."))))
     norm = evidence_norm(text)
     days = F.filter(F.array(*(F.when(norm.rlike(rf"(?U)\b(?:{p})\b"), F.lit(f"weekday:{d}")) for d, p in WEEKDAYS.items())), lambda x: x.isNotNull())
+    # Most texts name no day: one plain search spares them the seven with word boundaries.
+    days = F.when(F.lower(text).rlike("|".join(p.replace(r"п\s+ят", "ят").replace(r"\w*", "") for p in WEEKDAYS.values())), days).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(numbers, days))
 
 
-def grounded_claim(claim: Column, support: Column) -> Column:
-    """The claim without bracketed asides that hold unsupported numbers or weekdays; empty if some are left."""
-    known = tracked_tokens(support)
-    supported = F.size(F.array_except(tracked_tokens(claim), known)) == 0
+def ground_claims(df: DataFrame, claim: str, support: Column, out: str) -> DataFrame:
+    """df with `out`: the claim without bracketed asides that hold unsupported numbers or weekdays; empty if some are left.
+
+    Every step is a column of its own, so that no text is searched twice.
+    """
     aside = r"\s*\([^()]*(?:\)|$)"
-    pieces, asides = F.split(claim, aside, -1), F.regexp_extract_all(claim, F.lit(f"({aside})"), F.lit(1))
-    kept = F.transform(asides, lambda a: F.when(F.size(F.array_except(tracked_tokens(a), known)) > 0, "").otherwise(a))
-    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.concat(kept, F.array(F.lit(""))).alias("a")), lambda x: F.concat(x["p"], x["a"])), "")
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(joined, r"\s+([,.;:])", "$1"), r"\s+", " "))
-    return F.when(supported, claim).otherwise(F.when(F.size(F.array_except(tracked_tokens(tidy), known)) == 0, tidy).otherwise(""))
+    c = F.col(claim)
+    steps = ("known", "own", "asides", "pieces", "in_asides", "tidy", "left")
+    k, own, asides, parts, inside, tidy, left = (f"{out}__{s}" for s in steps)
+    d = df.withColumns({k: tracked_tokens(support), own: tracked_tokens(c), asides: F.regexp_extract_all(c, F.lit(f"({aside})"), F.lit(1)), parts: F.split(c, aside, -1)})
+    d = d.withColumn(inside, F.transform(asides, tracked_tokens))
+    kept = F.transform(F.arrays_zip(F.col(asides).alias("a"), F.col(inside).alias("t")), lambda x: F.when(F.size(F.array_except(x["t"], F.col(k))) > 0, "").otherwise(x["a"]))
+    joined = F.array_join(F.transform(F.arrays_zip(F.col(parts).alias("p"), F.concat(kept, F.array(F.lit(""))).alias("a")), lambda x: F.concat(x["p"], x["a"])), "")
+    d = d.withColumn(tidy, F.trim(F.regexp_replace(F.regexp_replace(joined, r"\s+([,.;:])", "$1"), r"\s+", " ")))
+    d = d.withColumn(left, F.size(F.array_except(tracked_tokens(F.col(tidy)), F.col(k))))
+    sound = F.size(F.array_except(F.col(own), F.col(k))) == 0
+    return d.withColumn(out, F.when(sound, c).when(F.col(left) == 0, F.col(tidy)).otherwise("")).drop(*(f"{out}__{s}" for s in steps))
 
 
 def coerced_status(kind: Column, status: Column) -> Column:
@@ -109,8 +118,9 @@ def validated(items: DataFrame, proofs: DataFrame, lines: DataFrame) -> DataFram
     due = clean_text(F.col("deadline"))
     due = F.when(F.contains(evidence_norm(F.col("transcript")), evidence_norm(due)), due).otherwise("")
     unclear = cue(evidence_norm(due), "two_days")
+    d = ground_claims(d, "claim", support, "sound_claim")
     out = d.select(
-        "session", "item_id", "type", grounded_claim(F.col("claim"), support).alias("claim"), coerced_status(F.col("type"), F.trim("status")).alias("status"),
+        "session", "item_id", "type", F.col("sound_claim").alias("claim"), coerced_status(F.col("type"), F.trim("status")).alias("status"),
         F.when(F.col("confidence").isin(*CONFIDENCES), F.col("confidence")).otherwise("medium").alias("confidence"),
         F.when((F.col("type") == "commitment") & F.col("commitment_strength").isin("explicit", "soft"), F.col("commitment_strength")).otherwise("not_applicable").alias("commitment_strength"),
         owners.alias("owners"), F.when(unclear, "сьогодні або завтра").otherwise(due).alias("deadline"), unclear.alias("deadline_ambiguous"),

@@ -69,7 +69,8 @@ def claim_token_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     claim = F.when(k % 3 == 0, F.concat(F.lit("Ship "), c, F.lit(" units"))).when(k % 3 == 1, F.lit("Ship units (by 7777 pm) , soon")).otherwise("Ship 8888 units")
     support = F.concat(F.lit("we ship "), c, F.lit(" units"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", L.grounded_claim(claim, support).alias("claim"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", claim.alias("said"), support.alias("support"))
+    return L.ground_claims(d, "said", F.col("support"), "claim").select("o_orderkey", "claim")
 
 
 @query("""with t as (select doc_id, substr(text, 1, 60) as c, substr(text, 61, 200) as q from documents), r as (select *, length(regexp_replace(c, '[^äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as own, length(regexp_replace(c, '[^A-Za-zäöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as every, trim(regexp_replace(q, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) as quote from t)

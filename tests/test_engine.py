@@ -66,6 +66,12 @@ def test_ledger_validation(spark):
     assert (b.status, b.deadline, b.source_order, b.speaker, b.commitment_strength) == ("active", "", 4, "Ігор", "not_applicable")
 
 
+def test_tracked_tokens(spark):
+    rows = [("Зустріч у п’ятницю о 12,5 та 2024x 7", ["number:12.5", "number:2024", "number:7", "weekday:friday"]), ("On Monday, ver2 of неділя", ["weekday:monday", "weekday:sunday"]), ("sundays", []), ("a12 _3", [])]
+    d = spark.createDataFrame(rows, "t string, want array<string>").select(F.array_sort(ledger.tracked_tokens(F.col("t"))).alias("got"), "want")
+    assert [r.got for r in d.collect()] == [r.want for r in d.collect()]
+
+
 @pytest.mark.parametrize(("quotes", "kind"), [(["Погоджено"], "decision"), (["Якщо бюджет буде, залишаємо план"], "proposal"), (["Залишаємо план"], "decision"), (["Давайте так"], "proposal")])
 def test_lifecycle_of_decisions(spark, quotes, kind):
     d = spark.createDataFrame([("decision", "active", "x", "", quotes)], "type string, status string, claim string, deadline string, quotes array<string>")
