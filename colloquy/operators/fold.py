@@ -7,7 +7,7 @@ limits bound (20,000 entries), so a group fits a task whatever the number of ses
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +26,30 @@ GENERIC = frozenset({"дякую"})
 
 
 def _fold(df: DataFrame, keys: list[str], schema: str, order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return f(rows.sort_values(order, kind="stable").reset_index(drop=True))
+    """f on the rows of each group in order. Groups come sorted, many to an Arrow batch; the last of a batch waits for the next batch."""
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([f(g.reset_index(drop=True)) for _, g in rows.groupby(keys, sort=False, dropna=False)], ignore_index=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for rows in frames:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            k, last = rows[keys], rows[keys].iloc[-1]
+            open_ = ((k == last) | (k.isna() & last.isna())).all(axis=1)
+            held = rows[open_]
+            if not open_.all():
+                yield each(rows[~open_])
+        if held is not None and len(held):
+            yield each(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
 def drop_bursts(entries: DataFrame, window_ms: int = BURST_MS) -> DataFrame:
@@ -54,10 +74,6 @@ def drop_bursts(entries: DataFrame, window_ms: int = BURST_MS) -> DataFrame:
     return _fold(entries, ["session"], _ddl(entries), ["start_ms", "ord"], f)
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-
 def merge_related(entries: DataFrame) -> DataFrame:
     """Growing, corrected and repeated captions of one speaker as one row: the row first seen, its text and end carried on.
 
