@@ -16,7 +16,9 @@ Rows that repeat a doc_id don't remove from each other. Equal words everywhere,
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -33,8 +35,8 @@ LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 BLOCK_BITS = 20
 #: Windows that a task holds before it sends what it has.
 FLUSH = 1 << 22
-#: A candidate's second hash (16 bits), its first word and whether it is sure share one long, to keep the shuffle small.
-TAG_AT = 32
+#: A candidate's second hash (the low 16 bits), whether it is sure and its first word share one long, to keep the shuffle small.
+TAG, SURE, AT = (1 << 16) - 1, 16, 17
 _ROW = random_words(301, 4)
 
 
@@ -140,15 +142,20 @@ def sketch(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     return out.reshape(ROWS, -1)
 
 
+@lru_cache(maxsize=1)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(ROWS, -1)
+
+
 def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> DataFrame:
-    """(h, doc_id, place) for windows estimated repeated; place packs tag, first word and sure.
+    """(h, place, doc_id) for windows estimated repeated; place packs tag, sure and first word.
 
     Those that a task knows to repeat are sure; of the others it sends what its smallest document has.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = shared.value
+        repeated = _unpacked(shared.value)
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -157,16 +164,16 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> D
             h, tag, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((doc, tag, h))
-            h, tag, doc, at = h[order], tag[order], doc[order], at[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])])
-            least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            sure = doc > least
+            a, b, c = h[order], tag[order], doc[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            sure = np.zeros(len(h), bool)
+            sure[order] = c > c[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
             # Sure rows need no group any more: a key of their own spreads them.
             h = np.where(sure, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
-            place = (tag << TAG_AT) | (at << 1) | sure
+            place = (at << AT) | (sure.astype(np.int64) << SURE) | tag
             for low in range(0, len(h), 1 << 17):
                 cut = slice(low, low + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(doc[cut]), pa.array(place[cut])], names=["h", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(place[cut]), pa.array(doc[cut])], names=["h", "place", "doc_id"])
 
         n = 0
         for b in batches:
@@ -185,7 +192,7 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> D
                     n = 0
         yield from send()
 
-    return keyed_text(docs).where("doc_id is not null").mapInArrow(run, "h long, doc_id long, place long")
+    return keyed_text(docs).where("doc_id is not null").mapInArrow(run, "h long, place long, doc_id long")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,8 +200,8 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = int(np.ceil(np.log2(min(max(size / CELL_BYTES, LEAST_CELLS), MOST_CELLS))))
     found = candidates(docs, window, bits, sketch(docs, window, bits)).repartition("h")  # the tag is worked out behind the shuffle
-    found = found.withColumn("tag", F.shiftright("place", TAG_AT)).withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "tag")))
-    return found.where((F.col("place").bitwiseAND(1) == 1) | (F.col("doc_id") > F.col("least"))).groupBy("doc_id").agg(F.collect_list("place").alias("cut"))
+    found = found.withColumn("tag", F.col("place").bitwiseAND(TAG)).withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "tag")))
+    return found.where((F.col("place").bitwiseAND(1 << SURE) != 0) | (F.col("doc_id") > F.col("least"))).groupBy("doc_id").agg(F.collect_list("place").alias("cut"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -214,7 +221,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False)
                 lost = np.zeros(len(w), bool)
                 if cuts_of[i].is_valid:
                     place = cuts_of[i].values.to_numpy()
-                    at, tag = (place & ((1 << TAG_AT) - 1)) >> 1, place >> TAG_AT
+                    at, tag = place >> AT, place & TAG
                     _, own_tag, _, _ = windows(np.frombuffer(text or b"", np.uint8), np.array([0, len(text or b"")]), window)
                     # Rows may repeat a doc_id with other texts: a cut holds where the text has that window.
                     inside = at < len(own_tag)
