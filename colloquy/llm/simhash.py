@@ -155,10 +155,11 @@ def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """doc_id, th, fp, component_id and chosen (a document of its component with the smallest id), one row per document."""
     marks = written(fingerprints(docs, shingle), "fingerprints")
-    roots = components(links(marks.select("fp").distinct(), most))
+    roots = written(components(links(marks.select("fp").distinct(), most)), "roots")
     placed = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = placed.withColumn("name", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    least = placed.groupBy("root").agg(F.min("name").alias("least"))
+    # Written, so that both joins are of plain exchanges, whose hot keys Spark splits: a third of all rows may share a root.
+    least = written(placed.groupBy("root").agg(F.min("name").alias("least")), "least-names")
     return placed.join(least, "root").select("doc_id", "th", "fp", F.col("least.doc_id").alias("component_id"), (F.col("name") == F.col("least")).alias("chosen"))
 
 
