@@ -33,8 +33,8 @@ ROWS = 2
 CELL_BYTES = 4
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 BLOCK_BITS = 20
-#: Windows that a task holds before it sends what it has.
-FLUSH = 1 << 22
+#: Windows that a task holds before it sends what it has: as cells, and as candidates, which take more memory each.
+FLUSH, FLUSH_CANDIDATES = 1 << 22, 1 << 21
 #: A candidate's second hash (the low 16 bits), whether it is sure and its first word share one long, to keep the shuffle small.
 TAG, SURE, AT = (1 << 16) - 1, 16, 17
 _ROW = random_words(301, 4)
@@ -187,7 +187,7 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap: np.ndarray) -> D
                 if may.any():
                     held.append((h[may], tag[may], ids[first + own[may]], at[may]))
                     n += int(may.sum())
-                if n >= FLUSH:
+                if n >= FLUSH_CANDIDATES:
                     yield from send()
                     n = 0
         yield from send()
