@@ -152,25 +152,35 @@ def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
     return blocks.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """doc_id, th, fp, component_id and chosen (a document of its component with the smallest id), one row per document."""
-    marks = written(fingerprints(docs, shingle), "fingerprints")
-    roots = written(components(links(marks.select("fp").distinct(), most)), "roots")
-    placed = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def choice(marks: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """marks (doc_id, th and the column named) with component_id and chosen; roots has node and root for every node with a link."""
+    placed = marks.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     placed = placed.withColumn("name", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     # Written, so that both joins are of plain exchanges, whose hot keys Spark splits: a third of all rows may share a root.
     least = written(placed.groupBy("root").agg(F.min("name").alias("least")), "least-names")
-    return placed.join(least, "root").select("doc_id", "th", "fp", F.col("least.doc_id").alias("component_id"), (F.col("name") == F.col("least")).alias("chosen"))
+    return placed.join(least, "root").select("doc_id", "th", node, F.col("least.doc_id").alias("component_id"), (F.col("name") == F.col("least")).alias("chosen"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id (of several texts under it, of the smallest hash)."""
-    chosen = near_duplicates(docs, shingle, most).where("chosen").select(F.col("doc_id").alias("simhash__id"), F.col("th").alias("simhash__th")).distinct()
+def only_chosen(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found (doc_id, th, chosen) has chosen, repeated ones once."""
+    chosen = found.where("chosen").select(F.col("doc_id").alias("simhash__id"), F.col("th").alias("simhash__th")).distinct()
     d = docs.withColumns({"simhash__own": F.col("doc_id").cast("long"), "simhash__text": F.xxhash64("text")})
     d = d.join(chosen, F.col("simhash__own").eqNullSafe(F.col("simhash__id")) & (F.col("simhash__text") == F.col("simhash__th")), "left_semi")
     return d.dropDuplicates(["simhash__own", "simhash__text"]).drop("simhash__own", "simhash__text")
 
 
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """doc_id, th, fp, component_id and chosen (a document of its component with the smallest id), one row per document."""
+    marks = written(fingerprints(docs, shingle), "fingerprints")
+    roots = written(components(links(marks.select("fp").distinct(), most)), "roots")
+    return choice(marks, roots, "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id (of several texts under it, of the smallest hash)."""
+    return only_chosen(docs, near_duplicates(docs, shingle, most))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(documents(spark, sf_dir))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import common, components, decontamination, language_id, mixing, pii, quality_classifier, quality_rules, repeats, simhash, suffix_index, token_counts
+import corpus_pipeline
+from colloquy.llm import common, components, decontamination, language_id, mixing, near_copies, pii, quality_classifier, quality_rules, repeats, simhash, suffix_index, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, kept string, fp int, size int"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -367,3 +368,49 @@ def test_empty_tables(spark):
 def test_unicode_letters_match_python():
     is_letter = language_id.letters()
     assert is_letter[ord("ß")] and not is_letter[ord("5")] and unicodedata.category("ª") == "Lo" and is_letter[ord("ª")]
+
+
+def jaccard_components(texts, n=5):
+    """The least index of each text's component, by brute force over all pairs."""
+    def shingles(t):
+        w = [x.lower() for x in split(t)]
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("small, block", [(16, 4000), (2, 7)])
+def test_near_copies_by_brute_force(spark, texts, monkeypatch, small, block):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    made, line = list(texts), prose(rng, 40)
+    for _ in range(12):
+        base = prose(rng, rng.choice([9, 60, 150])).split()
+        for share in (0.0, 0.01, 0.02, 0.03, 0.04, 0.06):
+            made.append(" ".join(w if rng.random() >= share else "other" + str(rng.random()) for w in base))
+    made += [made[40].upper(), line + " " + prose(rng, 12), *(line + f" and {i} so on" for i in range(40))]
+    want = jaccard_components(made)
+    got = by_id(near_copies.near_copies(table(spark, made)))
+    assert [got[i].component_id for i in range(len(made))] == want
+    kept = near_copies.drop_near_copies(table(spark, made))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_pipeline_stage_drops_copies_of_0_8(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    near = [*base[:50], "x", *base[51:100], "y", *base[101:150], "z", *base[151:]]  # 185 of 200 shingles stay: 185 / 215
+    far = [w if k % 20 else "v" for k, w in enumerate(base)]
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, [" ".join(t) for t in (base, near, far)]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_near_copies_of_nothing(spark):
+    assert near_copies.drop_near_copies(table(spark, ["a"]).limit(0)).count() == 0
