@@ -414,3 +414,22 @@ def test_pipeline_stage_drops_copies_of_0_8(spark):
 
 def test_near_copies_of_nothing(spark):
     assert near_copies.drop_near_copies(table(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_telling_words_are_counted_over_all_labelled(spark, monkeypatch):
+    """A word of 60 labelled toxic documents tells, however few of them are in the sample for the weights."""
+    seen = {}
+    inner = quality_classifier._fitted
+    monkeypatch.setattr(quality_classifier, "_fitted", lambda chosen, target, label, vocabulary: (seen.update({target: vocabulary}), inner(chosen, target, label, vocabulary))[1])
+    monkeypatch.setattr(quality_classifier, "FIT_ROWS", 12)
+    rng = random.Random(6)
+    texts = [prose(rng, 60) + (" zwackelig" if i % 10 == 0 else "") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    quality_classifier.fit(table(spark, texts), labels)
+    word = b"zwackelig"
+    keys = quality_classifier.hash_of(quality_classifier.feature_keys(np.frombuffer(word, np.uint8), np.array([0, len(word)])))
+    assert np.isin(keys[0], seen["toxic"])
+    # Exactly what brute force counts: words are in as many texts as they say.
+    d = table(spark, ["a b a", "b", "c b"]).selectExpr("cast(text as binary) plain", "1 n_quality", "500000 bad_quality", "cast(doc_id > 0 as int) n_toxic", "0 bad_toxic")
+    got = sorted((r.n_quality, r.bad_quality, r.n_toxic) for r in quality_classifier.word_counts(d).collect())
+    assert got == [(1, 500000, 0), (1, 500000, 1), (3, 1500000, 2)]
