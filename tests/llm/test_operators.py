@@ -177,12 +177,34 @@ def test_token_counts_and_prefixes(spark, texts):
     for i, t in enumerate(more):
         r = got[i]
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((t or "").encode()), count(t), count(t) > 50)
-        assert sum(r.piece_chars) == len(t or "") and (not r.tokens_after or r.tokens_after[-1] == r.n_tokens)
+        assert len(r.tokens_at) == len(t or "") + 1 and r.tokens_at[0] == 0 and r.tokens_at[-1] == r.n_tokens
+        assert count((t or "")[: r.fit_chars]) <= 50
     c = token_counts.counter("byte_bpe_50k.json")
-    for t in more[-5:] + [texts[16], texts[17], "it'll be x's"]:
-        assert [c.at(t, k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
+    for t in [*more[-5:], texts[16], texts[17], "it'll be x's", "a<|endoftext|>", "  <|endoftext|>'s", "x  \n <|endoftext"]:
+        truth = [count(t[:k]) for k in range(len(t) + 1)]
+        found = c.table(t)
+        assert found.tolist() == truth
         for budget in range(0, 12):
-            assert count(t[: c.within(t, budget)]) <= budget
+            # The longest of all prefixes within the budget, none longer.
+            assert c.within(found, budget) == max(k for k, n in enumerate(truth) if n <= budget)
+
+
+def test_token_questions_ask_no_library(spark, texts, monkeypatch):
+    import tokenizers
+
+    def refuse(*_, **__):
+        raise AssertionError("the table answers")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", refuse)
+    c = token_counts.PrefixCounter("byte_bpe_50k.json")
+    t = c.table(texts[16])
+    assert t[c.within(t, 5)] <= 5 and int(t[-1]) > 5
+
+
+def test_token_counts_rows(spark):
+    d = spark.createDataFrame([(None, "two words", 1), (3, "two words", 2), (3, "two words", 2), (4, "", 3)], "doc_id long, text string, tokens_at int")
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(d).collect())
+    assert got == [(-1, 2), (3, 2), (3, 2), (4, 0)]
 
 
 def test_pii_base_spans(spark):
