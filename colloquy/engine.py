@@ -11,6 +11,13 @@ from .operators import clean, fold, ledger, quality, search, tasks
 from .sources import exports
 
 
+#: What a chunk may be.
+SEARCHABLE_KINDS = (
+    "title", "tldr", "fact", "participant_claim", "recommendation", "hypothesis", "proposal",
+    "decision", "commitment", "completed_action", "open_question", "transcript", "chat",
+)
+
+
 class Engine:
     """A folder of tables: entries by session, and the chunks and meetings that a search reads."""
 
@@ -20,12 +27,19 @@ class Engine:
     def _table(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._table(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def ingest(self, path: str, **limits) -> DataFrame:
-        """Cleans every valid export under path and replaces its sessions' entries; returns refused exports with their reason."""
-        read = exports.read_exports(self.spark, path).where(F.col("bytes") <= exports.MAX_BYTES)
-        valid, refused = exports.split_valid(read, **limits)
+        """Cleans the fullest valid export of each session under path and replaces its entries; returns refused exports with their reason."""
+        valid, refused = exports.split_valid(exports.read_exports(self.spark, path), **limits)
+        valid = exports.fullest(valid)
+        if self._has("meetings"):  # what was taken in before stays unless the new export says more
+            before = self.meetings().select("session", F.struct("n_entries", "last_ms").alias("had"))
+            valid = valid.join(before, "session", "left").where(F.col("had").isNull() | (F.struct("n_entries", "last_ms") > F.col("had"))).drop("had")
         self.normalised(exports.entries(valid)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(self._table("entries"))
-        meeting = valid.select(exports.session_id(exports.started_at(F.col("startedAt")), F.col("meetingCode")).alias("session"), F.date_format(exports.started_at(F.col("startedAt")), "yyyy-MM-dd").alias("meeting_date"), F.col("meetingTitle").alias("title"), "participants")
+        meeting = valid.select("session", F.date_format(exports.started_at(F.col("startedAt")), "yyyy-MM-dd").alias("meeting_date"), F.col("meetingTitle").alias("title"), "participants", "n_entries", "last_ms")
         meeting.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(self._table("meetings"))
         return refused.select("path", "reason")
 
@@ -52,6 +66,8 @@ class Engine:
         return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("session").orderBy("rank", "at")) - 1).withColumn("chunk_id", F.concat_ws(":", "session", "ordinal")).drop("rank", "at")
 
     def search(self, query: str = "", participants: Sequence[str] = (), owner: str | None = None, kinds: Sequence[str] = (), status: str | None = None, date_from: str | None = None, date_to: str | None = None, limit: int = 20, items: DataFrame | None = None) -> DataFrame:
+        if unknown := sorted(set(kinds) - set(SEARCHABLE_KINDS)):
+            raise ValueError(f"unknown kinds: {unknown}")
         return search.search(self.chunks(items), self.meetings(), query, limit=limit, participants=participants, owner=owner, kinds=kinds, status=status, date_from=date_from, date_to=date_to)
 
     def quality(self) -> DataFrame:

@@ -42,6 +42,10 @@ CUES = {
 WEEKDAYS = {"monday": r"понеділ\w*|monday", "tuesday": r"вівтор\w*|tuesday", "wednesday": r"серед\w*|wednesday", "thursday": r"четвер\w*|thursday", "friday": r"п\s+ятниц\w*|пятниц\w*|friday", "saturday": r"субот\w*|saturday", "sunday": r"неділ\w*|sunday"}
 
 
+#: Quotes of one or two words that are held beside all documents at once.
+SHORT_BLOCK = 2000
+
+
 def cue(text: Column, name: str, cues: dict[str, str] = CUES) -> Column:
     """Whether a cue stands in normalised text, at word boundaries."""
     return text.rlike(rf"(?U)\b{cues[name]}\b")
@@ -66,6 +70,31 @@ def anchors(proofs: DataFrame, lines: DataFrame) -> DataFrame:
     return g.select("session", "item_id", "proof_ord", "quote", F.when(F.col("n_at") > 0, F.col("asked")).otherwise("").alias("timestamp"), sure["line"].alias("line"), sure["ts"].alias("source_timestamp"), F.coalesce(who, sure["speaker"]).alias("speaker"), F.coalesce(sure["text"], F.col("quote")).alias("source_text"))
 
 
+def quoted_in(quotes: DataFrame, docs: DataFrame, normal: bool = False) -> DataFrame:
+    """(quote, doc_id) for every distinct quote that stands verbatim in a document; normal: quotes are normalised already.
+
+    Words inside a quote are whole words of each text that has it, so the rarest of them finds the candidates by an equi-join.
+    Quotes without a word between two others have no such key: they go to the documents in blocks of at most SHORT_BLOCK.
+    Empty quotes stand nowhere. Null texts hold nothing.
+    """
+    q = quotes.select("quote", (F.col("quote") if normal else evidence_norm(F.col("quote"))).alias("q")).where("q != ''").distinct()
+    d = docs.select("doc_id", evidence_norm(F.col("text")).alias("n"))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    parts = q.withColumn("words", F.split("q", " "))
+    inner = parts.where(F.size("words") > 2).select("q", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("w"))
+    seen = words.join(inner.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # A quote with an inner word that no document has is nowhere; the inner join may keep it, the last test drops it.
+    keys = inner.join(seen, "w").groupBy("q").agg(F.min(F.struct("df", "w"))["w"].alias("w"))
+    near = words.join(keys, "w").select("doc_id", "q")
+    found = near.join(d, "doc_id").where(F.contains("n", F.col("q"))).select("q", "doc_id")
+    short = parts.where(F.size("words") < 3).select("q").distinct()
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
+        found = found.unionByName(d.join(F.broadcast(block), F.contains("n", F.col("q"))).select("q", "doc_id"))
+    return q.join(found, "q").select("quote", "doc_id")
+
+
 def tracked_tokens(text: Column) -> Column:
     """number:<n> and weekday:<name> of a text: what a claim may not invent."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?=\d)(?<!\w)(\d{1,4}(?:[.,]\d+)?)"), F.lit(1)), lambda n: F.concat(F.lit("number:"), F.replace(n, F.lit(","), F.lit("."))))

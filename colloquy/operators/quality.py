@@ -8,17 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import n_words, says
+from ..functions.text import clean_text, n_words, says
 
 #: Fixed limits.
 UNKNOWN_ERROR, UNKNOWN_WARNING, DRIFT = 0.35, 0.15, 0.005
 #: Names that stand for an unknown speaker.
-UNKNOWN_SPEAKER = r"(?iu)^(невідомий.*|unknown.*|speaker[_ ]?\d*|учасник.*|)$"
+UNKNOWN_SPEAKER = r"(?iuU)^(?:невідомий|unknown|local_unknown|учасник(?:\s+\S+)?)$"
 
 
 def capture_metrics(entries: DataFrame, unknown: Column | None = None) -> DataFrame:
     """One row a session: captions, chats, unknown_ratio (1 without captions), max_gap_ms between caption starts."""
-    unknown = F.trim("speaker").rlike(UNKNOWN_SPEAKER) if unknown is None else unknown
+    unknown = F.coalesce(clean_text(F.col("speaker")).rlike(UNKNOWN_SPEAKER), F.lit(False)) if unknown is None else unknown
     caption = F.col("kind") != "chat"
     starts = Window.partitionBy("session", caption).orderBy("start_ms")
     d = entries.withColumn("gap", F.when(caption, F.col("start_ms") - F.lag("start_ms").over(starts)))
@@ -112,12 +112,12 @@ def interview_outcome(rows: DataFrame, early: str = EARLY, cancelled: str = CANC
     w = n_words(F.col("text"))
     s = rows.withColumn("from_end", nth_last).groupBy("session").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(w).alias("words"), F.count_if("is_candidate").alias("candidate_lines"), F.coalesce(F.sum(F.when(F.col("is_candidate"), w)), F.lit(0)).alias("candidate_words"),
-        first(early).alias("early"), first(cancelled).alias("cancelled"), first(technical).alias("technical"), F.collect_list(F.when(F.col("from_end") <= 3, F.col("text"))).alias("tail"),
+        first(early).alias("early"), first(cancelled).alias("cancelled"), first(technical).alias("technical"), F.min(F.when(F.col("from_end") <= 3, F.col("ord"))).alias("tail"),
     )
     c = F.col
     limited = (c("candidate_lines") < 4) | (c("candidate_words") < 180)
     outcome = (
-        F.when(c("early").isNotNull() & c("early.is_candidate") & F.array_contains("tail", c("early.text")) & limited, "early_terminated")
+        F.when(c("early").isNotNull() & c("early.is_candidate") & (c("early.ord") >= c("tail")) & limited, "early_terminated")
         .when(c("cancelled").isNotNull() & (c("lines") <= 20), "cancelled_no_show")
         .when(c("technical").isNotNull() & (c("words") < 180), "technical_failure")
         .when((c("candidate_lines") == 0) & (c("lines") >= 8) & (c("words") >= 180), "identity_unresolved")

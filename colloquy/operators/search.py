@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized, word_tokens
@@ -15,9 +15,16 @@ KIND_BOOST = {"decision": -0.8, "commitment": -0.6, "open_question": -0.4, "tldr
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PREFIX_CHARS = 4
 MOST_RESULTS = 200
+#: Words that a query leaves out unless it has no others.
+STOP_WORDS = (
+    "а", "але", "в", "ви", "до", "з", "за", "і", "із", "й", "ми",
+    "на", "не", "про", "та", "у", "що", "як", "які", "яка", "який",
+    "було", "були", "вирішили", "обговорювали", "зустріч", "зустрічі",
+    "meeting", "meetings", "the", "what", "about",
+)
 
 
-def query_terms(text: str, stop_words: Sequence[str] = ()) -> list[str]:
+def query_terms(text: str, stop_words: Sequence[str] = STOP_WORDS) -> list[str]:
     """Distinct tokens that are no stop words, or all of them if nothing else is left."""
     import re
 
@@ -50,10 +57,9 @@ def document_frequencies(chunks: DataFrame, field: str) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, terms: Sequence[str], fields: Sequence[str], boosts: dict[str, float] = KIND_BOOST) -> DataFrame:
-    """chunks that match, with matched (terms found), score (lower is better) and any column they had.
+    """chunks that have any term, with matched (terms found), score (lower is better) and any column they had.
 
-    All terms are asked for if some chunk has them all, else any. Tokens are filtered to the query's before the only
-    shuffle; corpus statistics are one row.
+    Tokens are filtered to the query's before the only shuffle; corpus statistics are one row and count all chunks.
     """
     # A token can match several terms (a prefix of another): each term gets its own posting.
     hit = F.filter(F.array(*(F.when(matches(F.col("token"), t), F.lit(i)) for i, t in enumerate(terms))), lambda x: x.isNotNull())
@@ -67,11 +73,8 @@ def bm25(chunks: DataFrame, terms: Sequence[str], fields: Sequence[str], boosts:
     scored = found.join(F.broadcast(idfs), "term").join(lengths.select("chunk_id", "n_tokens"), "chunk_id")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
     per_chunk = scored.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("matched"), (-F.sum(part)).alias("bm25"))
-    most = per_chunk.agg(F.max("matched").alias("most"))
-    need = F.when(F.col("most") == len(terms), F.lit(len(terms))).otherwise(1)
-    kept = per_chunk.crossJoin(F.broadcast(most)).where(F.col("matched") >= need)  # most is one row
     boost = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in boosts.items()), F.lit(0.0))
-    return chunks.join(kept.drop("most"), "chunk_id").withColumn("score", F.round(F.col("bm25") + boost, 6)).drop("bm25")
+    return chunks.join(per_chunk, "chunk_id").withColumn("score", F.round(F.col("bm25") + boost, 6)).drop("bm25")
 
 
 def filters(participants: Sequence[str] = (), owner: str | None = None, kinds: Sequence[str] = (), status: str | None = None, date_from: str | None = None, date_to: str | None = None) -> Column:
@@ -96,16 +99,24 @@ def _some(name: str) -> Column:
     return F.exists("participants", lambda x: F.contains(normalized(x), F.lower(F.lit(name))))
 
 
-def search(chunks: DataFrame, meetings: DataFrame, text: str, fields: Sequence[str] = ("text", "speaker", "owners"), limit: int = 20, stop_words: Sequence[str] = (), boosts: dict[str, float] = KIND_BOOST, **conditions) -> DataFrame:
-    """The best `limit` chunks for a query, or the newest for an empty one; conditions as in filters()."""
+def search(chunks: DataFrame, meetings: DataFrame, text: str, fields: Sequence[str] = ("text", "speaker", "owners"), limit: int = 20, stop_words: Sequence[str] = STOP_WORDS, boosts: dict[str, float] = KIND_BOOST, **conditions) -> DataFrame:
+    """The best `limit` chunks for a query, or the newest for an empty one; conditions as in filters().
+
+    If a chunk that meets the conditions has all terms, only such chunks count, else those with any term.
+    """
     if not 1 <= limit <= MOST_RESULTS:
         raise ValueError(f"limit must be between 1 and {MOST_RESULTS}")
     terms = query_terms(text, stop_words)
     if terms:
         found = bm25(chunks, terms, fields, boosts).join(meetings, "session").where(filters(**conditions))
-        return found.orderBy("score", F.col("meeting_date").desc(), "session", "ordinal").limit(limit)
+        # Those with all terms come first: the top rows show whether there are any.
+        order = (F.col("score"), F.col("meeting_date").desc(), F.col("session"), F.col("ordinal"))
+        top = found.withColumn("all_terms", F.col("matched") == len(terms)).orderBy(F.col("all_terms").desc(), *order).limit(limit)
+        some = F.max("all_terms").over(Window.partitionBy(F.lit(0)))  # over at most `limit` rows
+        return top.withColumn("some", some).where(F.col("all_terms") == F.col("some")).drop("all_terms", "some").orderBy(*order)
     found = chunks.join(meetings, "session").where(filters(**conditions))
-    return found.orderBy(F.col("meeting_date").desc(), "session", "ordinal").limit(limit)
+    time = [F.col("meeting_time").desc()] if "meeting_time" in meetings.columns else []
+    return found.orderBy(F.col("meeting_date").desc(), *time, "session", "ordinal").limit(limit)
 
 
 def browse_snippet(text: Column) -> Column:

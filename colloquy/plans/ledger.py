@@ -28,18 +28,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""with b as (select item_id, {NORM.format("text")} as q from benchmark), d as (select doc_id, {NORM.format("text")} as n from documents) select b.item_id, count(*) as documents, min(doc_id) as first_doc from b join d on contains(d.n, b.q) group by 1""")
+@query(f"""with t as (select item_id, {NORM.format("text")} as n from benchmark), d as (select doc_id, {NORM.format("text")} as n from documents),
+ b as (select item_id, 0 as form, n as q from t union all select item_id, 1, array_to_string(list_slice(string_split(n, ' '), 1, 2), ' ') from t union all select item_id, 2, trim(substr(n, 3, 24)) from t union all select item_id, 3, substr(n, 2, 5) from t)
+select b.item_id, b.form, count(*) as documents, min(doc_id) as first_doc from b join d on contains(d.n, b.q) where b.q <> '' group by 1, 2""")
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark texts stand verbatim in a document: the quotes are a checked, small side; documents are scanned once."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", evidence_norm(F.col("text")).alias("q")).where("q != ''")
-    d = table(spark, sf_dir, "documents").select("doc_id", evidence_norm(F.col("text")).alias("n")).select("doc_id", "n", F.split("n", " ").alias("words"))
-    # The first four words of a quote find its candidates by an equi-join; substring tests follow on those only.
-    head = F.array_join(F.slice(F.split("q", " "), 1, 4), " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 4, F.lit(0))), lambda i: F.concat_ws(" ", *(F.get("words", i + k) for k in range(4)))))
-    # Heads find (document, quote) pairs; only those documents' texts are joined back for the substring test.
-    heads = d.select("doc_id", F.explode(grams).alias("head")).join(quotes.withColumn("head", head), "head").select("doc_id", "item_id", "q").distinct()
-    hit = heads.join(d.select("doc_id", "n"), "doc_id").where(F.contains("n", F.col("q")))
-    return hit.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Where quotes stand verbatim: whole benchmark texts, their first two words, and parts that begin and end inside a word."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", evidence_norm(F.col("text")).alias("n"))
+    forms = [F.col("n"), F.array_join(F.slice(F.split("n", " "), 1, 2), " "), F.trim(F.substring("n", 3, 24)), F.substring("n", 2, 5)]
+    quotes = t.select("item_id", F.posexplode(F.array(*forms)).alias("form", "quote"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = quotes.join(L.quoted_in(quotes, docs, normal=True), "quote")
+    return hit.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""with {TURNS_SQL}, l as (select session, ord, speaker, {NORM.format("text")} as n, ord * 10 as ts from turns), p as (select session, ord as item_id, trim(array_to_string(list_slice(string_split(n, ' '), 1, 2), ' ')) as q, case when ord % 2 = 0 then ord * 10 else -1 end as asked from l where n <> ''),

@@ -9,13 +9,15 @@ from ..operators import quality as Q
 from ..sources.tables import SIGNALS_SQL, TURNS_SQL, signals, table, turns
 from .registry import query
 
-_METRICS = f"""{SIGNALS_SQL}, e as (select session, case when kind = 'purchase' then 'chat' else 'caption' end as kind, case when event_id % 7 = session % 7 then 'Unknown' else 'P' || event_id % 3 end as speaker, ms as start_ms from signals),
+_METRICS = f"""{SIGNALS_SQL}, e as (select session, case when kind = 'purchase' then 'chat' else 'caption' end as kind, case when event_id % 7 = session % 7 then ['Unknown', ' local_unknown ', 'Учасник', 'УЧАСНИК 12', 'невідомий'][event_id % 5 + 1] else ['P0', 'SPEAKER_07', 'Unknown Soldier', '', 'Учасники'][event_id % 5 + 1] end as speaker, ms as start_ms from signals),
  g as (select *, case when kind <> 'chat' then start_ms - lag(start_ms) over (partition by session, kind <> 'chat' order by start_ms) end as gap from e),
- m as (select session, count(*) filter (kind <> 'chat') as captions, count(*) filter (kind = 'chat') as chats, coalesce(avg(case when kind <> 'chat' then (speaker = 'Unknown')::int::double end), 1.0) as unknown_ratio, coalesce(max(gap), 0) as max_gap_ms from g group by 1)"""
+ m as (select session, count(*) filter (kind <> 'chat') as captions, count(*) filter (kind = 'chat') as chats, coalesce(avg(case when kind <> 'chat' then (lower(trim(speaker)) in ('unknown', 'local_unknown', 'невідомий', 'учасник', 'учасник 12'))::int::double end), 1.0) as unknown_ratio, coalesce(max(gap), 0) as max_gap_ms from g group by 1)"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir).select("session", F.when(F.col("kind") == "purchase", "chat").otherwise("caption").alias("kind"), F.when(F.col("event_id") % 7 == F.col("session") % 7, "Unknown").otherwise(F.concat(F.lit("P"), F.col("event_id") % 3)).alias("speaker"), F.col("ms").alias("start_ms"))
+    """Events as captions; a seventh of the names, in all spellings, stand for unknown speakers, the others only look like it."""
+    name = lambda *each: F.element_at(F.array(*map(F.lit, each)), (F.col("event_id") % 5 + 1).cast("int"))
+    return signals(spark, sf_dir).select("session", F.when(F.col("kind") == "purchase", "chat").otherwise("caption").alias("kind"), F.when(F.col("event_id") % 7 == F.col("session") % 7, name("Unknown", " local_unknown ", "Учасник", "УЧАСНИК 12", "невідомий")).otherwise(name("P0", "SPEAKER_07", "Unknown Soldier", "", "Учасники")).alias("speaker"), F.col("ms").alias("start_ms"))
 
 
 @query(f"with {_METRICS} select session, captions, chats, round(unknown_ratio, 6) as unknown_ratio, max_gap_ms from m")
@@ -86,8 +88,8 @@ def meeting_type_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {TURNS_SQL}, r as (select session, ord, text, speaker = 'user' as c, len(string_split(trim(regexp_replace(text, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g')), ' ')) as w, row_number() over (partition by session order by ord desc) as k from turns),
  s as (select session, count(*) as lines, sum(w)::bigint as words, count(*) filter (c) as candidate_lines, coalesce(sum(w) filter (c), 0)::bigint as candidate_words,
-  arg_min(text, ord) filter (regexp_matches(text, '(?i)ting')) as et, arg_min(c, ord) filter (regexp_matches(text, '(?i)ting')) as ec, list(text) filter (k <= 3) as tail, count(*) filter (regexp_matches(text, '(?i)aner')) as can, count(*) filter (regexp_matches(text, '(?i)wh')) as tec from r group by 1)
-select session, case when et is not null and ec and list_contains(tail, et) and (candidate_lines < 4 or candidate_words < 180) then 'early_terminated' when can > 0 and lines <= 20 then 'cancelled_no_show'
+  arg_min(text, ord) filter (regexp_matches(text, '(?i)ting')) as et, arg_min(c, ord) filter (regexp_matches(text, '(?i)ting')) as ec, min(ord) filter (regexp_matches(text, '(?i)ting')) as eo, min(ord) filter (k <= 3) as tail, count(*) filter (regexp_matches(text, '(?i)aner')) as can, count(*) filter (regexp_matches(text, '(?i)wh')) as tec from r group by 1)
+select session, case when et is not null and ec and eo >= tail and (candidate_lines < 4 or candidate_words < 180) then 'early_terminated' when can > 0 and lines <= 20 then 'cancelled_no_show'
  when tec > 0 and words < 180 then 'technical_failure' when candidate_lines = 0 and lines >= 8 and words >= 180 then 'identity_unresolved' when candidate_lines < 2 or candidate_words < 40 then 'insufficient_content' else 'completed' end as outcome, lines, words, candidate_lines, candidate_words from s""")
 def interview_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The user is the candidate; syllables of the synthetic texts stand in for the cues."""

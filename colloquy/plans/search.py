@@ -31,9 +31,9 @@ def _bm25_sql(terms: list[str], where: str = "true", limit: int = 20) -> str:
   hits as (select chunk_id, term, sum(w) as f from ({each}) group by 1, 2),
   idf as (select term, greatest(ln((n_all - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) as idf from hits, corpus group by term, n_all),
   per_chunk as (select chunk_id, count(*) as matched, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / a))) as s from hits join idf using (term) join lens using (chunk_id), corpus group by 1),
-  kept as (select * from per_chunk where matched >= case when (select max(matched) from per_chunk) = {len(terms)} then {len(terms)} else 1 end)
-select c.session, c.ordinal, c.speaker, m.meeting_date, k.matched, round(s + case c.speaker when 'assistant' then -0.4 when 'system' then -0.2 else 0 end, 6) as score
-from kept k join chunks c using (chunk_id) join meetings m using (session) where {where} order by score, m.meeting_date desc, c.session, c.ordinal limit {limit}"""
+  met as (select c.session, c.ordinal, c.speaker, m.meeting_date, k.matched, round(s + case c.speaker when 'assistant' then -0.4 when 'system' then -0.2 else 0 end, 6) as score
+     from per_chunk k join chunks c using (chunk_id) join meetings m using (session) where {where})
+select * from met where matched >= case when (select max(matched) from met) = {len(terms)} then {len(terms)} else 1 end order by score, meeting_date desc, session, ordinal limit {limit}"""
 
 
 def _found(d: DataFrame) -> DataFrame:
@@ -56,6 +56,12 @@ def search_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(S.search(_chunks(spark, sf_dir), meetings(spark, sf_dir), "ther", ("text", "speaker"), limit=50, boosts=BOOSTS, kinds=["user", "assistant"], participants=["User"], date_from="2024-01-05", status="caption"))
 
 
+@query(_bm25_sql(["that", "user"], "c.speaker in ('assistant', 'system')", 50))
+def search_filtered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the user have both terms, but the kinds leave them out: any term counts among the rest."""
+    return _found(S.search(_chunks(spark, sf_dir), meetings(spark, sf_dir), "what about that user", ("text", "speaker"), limit=50, boosts=BOOSTS, kinds=["assistant", "system"]))
+
+
 @query(f"""with {TURNS_SQL}, {MEETINGS_SQL} select session, ord as ordinal, speaker, meeting_date from turns join meetings using (session)
 where speaker in ('user', 'assistant') and meeting_date between '2024-01-02' and '2024-03-01' and list_contains(participants, 'user') order by meeting_date desc, session, ordinal limit 100""")
 def search_browse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN, clean_inline, clean_speaker
@@ -40,11 +40,12 @@ def started_at(c: Column) -> Column:
     return F.try_to_timestamp(F.replace(clean_inline(c), F.lit("Z"), F.lit("+00:00")))
 
 
-def refusal(sources: tuple[str, ...] = SOURCES, max_entries: int = MAX_ENTRIES, max_total_chars: int = MAX_TOTAL_CHARS) -> Column:
+def refusal(sources: tuple[str, ...] = SOURCES, max_entries: int = MAX_ENTRIES, max_total_chars: int = MAX_TOTAL_CHARS, max_bytes: int = MAX_BYTES) -> Column:
     """Why an export is refused, by the first rule it breaks; null if it is valid."""
     e = F.col("entries")
     chars = F.aggregate(F.transform(e, lambda x: F.least(F.coalesce(F.length(x["text"]), F.lit(0)), F.lit(MAX_CHARS)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     rules = [
+        (F.coalesce(F.col("bytes") > max_bytes, F.lit(False)), "too_large"),
         (F.col("_corrupt_record").isNotNull(), "not_json"),
         (~F.col("schemaVersion").eqNullSafe(F.lit(1)), "schema_version"),
         (~F.coalesce(F.col("source").isin(*sources), F.lit(False)), "unknown_source"),
@@ -58,10 +59,20 @@ def refusal(sources: tuple[str, ...] = SOURCES, max_entries: int = MAX_ENTRIES,
 
 def split_valid(exports: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """(valid exports, refused ones with reason)."""
-    d = exports.withColumn("reason", refusal(**limits))
+    sized = exports if "bytes" in exports.columns else exports.withColumn("bytes", F.lit(None).cast("long"))
+    d = sized.withColumn("reason", refusal(**limits)).select(*exports.columns, "reason")
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
+def fullest(exports: DataFrame) -> DataFrame:
+    """Of the exports of one session the one with the most entries, then the latest end; of equal ones the one modified first. With session, n_entries, last_ms."""
+    d = exports.withColumn("session", session_id(started_at(F.col("startedAt")), F.col("meetingCode")))
+    end = F.coalesce(F.array_max(F.transform("entries", lambda e: e["endMs"].try_cast("double"))), F.lit(0.0))
+    d = d.withColumn("n_entries", F.size("entries")).withColumn("last_ms", end)
+    best = Window.partitionBy("session").orderBy(F.desc("n_entries"), F.desc("last_ms"), "modified", "path")
+    return d.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+
+
 def session_id(started: Column, code: Column) -> Column:
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(clean_inline(code)), "[^a-z0-9-]+", "-"), "^-+|-+$", ""), 1, 40)
     return F.concat(F.date_format(started, "yyyy-MM-dd_HH-mm-ss"), F.lit("_meet-"), F.when(slug == "", "meet").otherwise(slug))

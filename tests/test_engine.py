@@ -40,6 +40,40 @@ def test_ingest_and_search(spark, tmp_path):
     assert engine.ingest(str(src)).count() == 3 and engine.entries().count() == 3
 
 
+def test_fuller_export_replaces_and_large_ones_are_refused(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "out"))
+
+    def take(folder, docs, **limits):
+        (tmp_path / folder).mkdir()
+        for k, d in enumerate(docs):
+            (tmp_path / folder / f"meet-{k}.json").write_text(json.dumps(d))
+        refused = {r.path.rsplit("/", 1)[-1]: r.reason for r in engine.ingest(str(tmp_path / folder), **limits).collect()}
+        return refused, [r.text for r in engine.entries().orderBy("start_ms").collect()]
+
+    three = [e("Ann", "first of all", 0), e("Bob", "then the second", 20_000), e("Ann", "and a third one", 40_000)]
+    # Two exports of one session at once: the fuller one counts, entries of both don't mix.
+    assert take("a", [export(three[:1]), export(three[:2])]) == ({}, ["first of all", "then the second"])
+    assert take("b", [export(three[:1])]) == ({}, ["first of all", "then the second"])
+    assert take("c", [export(three)]) == ({}, ["first of all", "then the second", "and a third one"])
+    assert take("d", [export([e("Ann", "x" * 3000, 0)], startedAt="2024-06-01T10:00:00Z")], max_bytes=2000)[0] == {"meet-0.json": "too_large"}
+    with pytest.raises(ValueError):
+        engine.search("first", kinds=["fact", "nonsense"])
+
+
+def test_quotes_of_any_length_are_found(spark):
+    docs = spark.createDataFrame([(1, "We use the Event-Router; it works."), (2, "the event routers"), (3, None), (4, "")], "doc_id long, text string")
+    quotes = ["use the event router", "event router", "vent rout", "se the event router it wor", "the event", "router", "...", "nowhere at all", "e"]
+    got = sorted((r.quote, r.doc_id) for r in ledger.quoted_in(spark.createDataFrame([(q,) for q in [*quotes, "router"]], "quote string"), docs).collect())
+    norm = {1: "we use the event router it works", 2: "the event routers"}
+    assert got == sorted((q, k) for q in quotes if q != "..." for k, t in norm.items() if q in t)
+
+
+@pytest.mark.parametrize("name, unknown", [("Unknown", 1), (" local_unknown ", 1), ("Учасник 3", 1), ("УЧАСНИК", 1), ("невідомий", 1), ("SPEAKER_07", 0), ("Unknown Soldier", 0), ("", 0), (None, 0), ("Учасник 3 4", 0)])
+def test_unknown_speakers(spark, name, unknown):
+    d = spark.createDataFrame([("s", name, "caption", 0)], "session string, speaker string, kind string, start_ms long")
+    assert quality.capture_metrics(d).first().unknown_ratio == unknown
+
+
 LINES = [(1, "10:00:01", "Оля", "Так, я підготую звіт до 15 травня."), (2, "10:00:09", "Ігор", "Якщо бюджет буде, залишаємо план."), (3, "10:01:00", "Оля", "Вирішили: використовуємо чергу."), (4, "10:02:00", "Ігор", "Вирішили: використовуємо чергу.")]
 
 

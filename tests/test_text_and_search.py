@@ -52,6 +52,14 @@ def test_filters_and_browse(spark):
         S.search(c, m, "x", limit=0)
 
 
+def test_any_term_where_the_filters_leave_none_with_all(spark):
+    c = spark.createDataFrame([("a:0", "a", 0, "fact", "Ann", "one two", None, None), ("b:0", "b", 0, "fact", "Bob", "one only", None, None)], "chunk_id string, session string, ordinal int, kind string, speaker string, text string, owners string, status string")
+    m = spark.createDataFrame([("a", "2024-01-01", ["Ann"]), ("b", "2024-01-01", ["Bob"])], "session string, meeting_date string, participants array<string>")
+    assert ids(S.search(c, m, "one two")) == ["a:0"]
+    assert ids(S.search(c, m, "one two", participants=["bob"])) == ["b:0"]
+    assert S.query_terms("What about the зустріч router") == ["router"] and S.query_terms("the what") == ["the", "what"]
+
+
 def test_bm25_formula(spark):
     import math
 
