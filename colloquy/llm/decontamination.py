@@ -4,12 +4,13 @@
    tile all documents.
 2. One more pass over these adds up Y = A'A R for the passage matrix A and a random R, task by task and then term by term; with the
    benchmark's own passages added at equal weight, a Nystroem step on Y gives the leading right singular vectors (randomised SVD).
-3. Benchmark passages and text passages, now each beginning half a passage after the one before, are projected there. One
-   whose cosine with a benchmark passage reaches MIN_COSINE is a candidate.
+3. Benchmark passages are projected there, and text passages, now each beginning half a passage after the one before, compared
+   with them. One whose cosine with a benchmark passage's latent image (both as vectors over the terms) reaches MIN_COSINE is a
+   candidate.
 4. Around a candidate the longest common subsequence of words with the whole item is measured. It is a leak if it covers STRONG of
    the item, or WEAK of it while the item's answer (its last line or sentence) is there to ANSWER.
 
-The benchmark is the query set: it goes to the tasks in blocks of at most BLOCK_TERMS terms, each with passes of its own over the
+The benchmark is the query set: it goes to the tasks in blocks of at most BLOCK_TERMS terms and BLOCK_QUERIES passages, each with passes of its own over the
 documents, so what is broadcast and what a task adds up (terms by terms) has a bound. Null or empty texts and items leak nothing. Repeated rows are judged alike, each on its own;
 of repeated item ids all texts count. Other columns are kept. Empty tables give an empty result.
 """
@@ -28,7 +29,7 @@ from .common import bounded_batches, documents, text_groups, word_hashes
 
 PASSAGE = 64
 HALF = PASSAGE // 2
-BLOCK_TERMS = 6000
+BLOCK_TERMS, BLOCK_QUERIES = 6000, 1000
 MOST_RANK, OVERSAMPLE = 256, 8
 MIN_COSINE = 0.35
 STRONG, WEAK, ANSWER = 0.75, 0.5, 0.8
@@ -81,14 +82,14 @@ def pieces(own: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def weighted(p: np.ndarray, t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, weight), each term of a passage once, in order; weights of a passage have length 1."""
+    """(passage, term, weight), each term of a passage once, in order: its count times its idf, those of a passage having length 1."""
     on = t >= 0
     on[on] = idf[t[on]] > 0
-    key = np.unique(p[on] * max(len(idf), 1) + t[on])
+    key, times = np.unique(p[on] * max(len(idf), 1) + t[on], return_counts=True)
     p, t = key // max(len(idf), 1), key % max(len(idf), 1)
     if not len(p):
         return p, t, np.zeros(0)
-    w = idf[t]
+    w = times * idf[t]
     return p, t, w / np.sqrt(np.bincount(p, weights=w * w))[p]
 
 
@@ -114,8 +115,8 @@ class Items:
     def matrix(self, idf: np.ndarray) -> np.ndarray:
         q = np.zeros((len(self.queries), len(idf)))
         for k, (_, w) in enumerate(self.queries):
-            t = np.unique(terms_of(w, self.vocabulary))
-            q[k, t] = idf[t]
+            t, times = np.unique(terms_of(w, self.vocabulary), return_counts=True)
+            q[k, t] = times * idf[t]
         return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
 
@@ -217,13 +218,16 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") ->
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
     held: list[tuple[int, bytes]] = []
     terms: set[int] = set()
+    passages = 0
     out = docs.withColumn(column, F.array().cast(FOUND))
     for r in rows.orderBy("item_id").toLocalIterator():
-        new = set(hashed(bytes(r["text"])).tolist())
-        if held and len(terms | new) > BLOCK_TERMS:
-            out, held, terms = _block(docs, out, Items(held), column), [], set()
+        words = hashed(bytes(r["text"])).tolist()
+        new, n = set(words), len(range(0, max(1, len(words) - HALF), HALF))
+        if held and (len(terms | new) > BLOCK_TERMS or passages + n > BLOCK_QUERIES):
+            out, held, terms, passages = _block(docs, out, Items(held), column), [], set(), 0
         held.append((r["item_id"], bytes(r["text"])))
         terms |= new
+        passages += n
     return _block(docs, out, Items(held), column) if held else out
 
 
@@ -261,9 +265,18 @@ def _block(docs: DataFrame, out: DataFrame, items: Items, column: str) -> DataFr
                 inner = text_of[1:] == text_of[:-1]
                 product[:-1] += np.where(inner[:, None], product[1:], 0)
                 norm2[:-1] += np.where(inner, norm2[1:], 0)
-                cos = product / np.sqrt(np.maximum(norm2, 1e-9))[:, None]
+                # Words counted one by one, a passage is at most as long as its vector: no cosine is above this.
+                bound = product / np.sqrt(np.maximum(norm2, 1e-9))[:, None]
+                inner, length = np.append(inner, False), {}
                 word_at = np.searchsorted(own, np.arange(last - first + 1))
-                for p, j in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
+                for p, j in zip(*np.nonzero(bound >= MIN_COSINE), strict=True):
+                    if p not in length:
+                        mine = t[np.searchsorted(hs, p) : np.searchsorted(hs, p + 1 + int(inner[p]))]
+                        term, times = np.unique(mine, return_counts=True)
+                        length[p] = float(np.linalg.norm(times * idf[term]))
+                    cosine = float(product[p, j]) / length[p]
+                    if cosine < MIN_COSINE:
+                        continue
                     row, item = int(text_of[p]), int(item_of[j])
                     w = h[word_at[row] : word_at[row + 1]]
                     at = (int(p) - int(begins[row])) * HALF
@@ -276,7 +289,7 @@ def _block(docs: DataFrame, out: DataFrame, items: Items, column: str) -> DataFr
                     known = items.answers[item]
                     if lcs >= STRONG or (lcs >= WEAK and len(known) and common_length(known, near) >= ANSWER * len(known)):
                         before = found[first + row].get(item, (0.0, 0.0))
-                        found[first + row][item] = min(1.0, max(before[0], float(cos[p, j]))), max(before[1], lcs)
+                        found[first + row][item] = max(before[0], cosine), max(before[1], lcs)
             at = b.schema.get_field_index
             old = b.column(at(column)).to_pylist()
             new = [[*o, *({"item_id": items.ids[i], "cosine": c, "lcs": x} for i, (c, x) in sorted(f.items()))] for o, f in zip(old, found, strict=True)]
