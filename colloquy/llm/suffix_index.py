@@ -7,7 +7,7 @@ KEY bytes, so equal strings have their anchors at the same place, and a suffix a
    (a sort-merge join) against every existing level for suffixes that agree with its own, then becomes a level itself;
    two levels of equal rank merge into one of the next.
 2. For anchors whose suffix was matched, the strings around them are fetched from the texts, brought together by suffix, and
-   compared at every start over all LENGTH bytes. Only this exact check decides.
+   compared at every start by two independent 64-bit hashes of all LENGTH bytes. Only this check decides.
 3. Bytes that a repeated string covers are cut.
 
 The matched suffixes are told to the tasks as a bitmap of at most MOST_BITS cells, a size bound that only lets more anchors
@@ -15,7 +15,7 @@ through to step 2 when there are more. Tasks settle equal surroundings among the
 over HOT times go by their single strings, not as a group, so nothing large meets in one task.
 
 Null text is empty. Rows that repeat are two documents: all they share is cut from both. Texts shorter than LENGTH stay whole.
-A null doc_id is a document like any other. An empty table gives an empty result.
+A null doc_id is a document like any other. Other columns, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,23 +42,25 @@ PART = 1 << 20
 FLUSH = 24 << 20
 _BYTE = random_words(401, 256)
 _BASE = random_words(402, 1)[0]
+#: A second hash that has nothing in common with the first.
+_BYTE2, _BASE2 = random_words(403, 256), random_words(404, 1)[0] | np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_BASE), n, 1 << 64))
+def power(n: int, base: np.uint64 = _BASE) -> np.uint64:
+    return np.uint64(pow(int(base), n, 1 << 64))
 
 
-def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+def string_hashes(data: np.ndarray, length: int, byte: np.ndarray = _BYTE, base: np.uint64 = _BASE) -> np.ndarray:
     """A polynomial hash of the `length` bytes from every place on: strings of twice the length join two of half."""
-    out, have, h, size = None, 0, _BYTE[data], 1
+    out, have, h, size = None, 0, byte[data], 1
     while size <= length:
         if length & size:
             # What is joined so far covers the bytes before this part.
-            out = h if out is None else out[: max(0, len(data) - have - size + 1)] * power(size) + h[have : have + max(0, len(data) - have - size + 1)]
+            out = h if out is None else out[: max(0, len(data) - have - size + 1)] * power(size, base) + h[have : have + max(0, len(data) - have - size + 1)]
             have += size
         if size * 2 <= length:
-            h = h[: max(0, len(h) - size)] * power(size) + h[size:]
+            h = h[: max(0, len(h) - size)] * power(size, base) + h[size:]
         size *= 2
     return out if len(data) >= length else np.zeros(0, np.uint64)
 
@@ -278,8 +280,9 @@ def surroundings(docs: DataFrame, length: int, bits: int, marks: np.ndarray) ->
                     if not is_hot[k]:
                         add((g[k], around), [g[k], 0, ids[r], ths[r], start, high - low + 1, around, False])
                         continue
-                    strings = string_hashes(np.frombuffer(around, np.uint8), length)
-                    for j, (s, t) in enumerate(zip(mix(strings).view(np.int64).tolist(), (mix(strings ^ _BASE) * _BASE).view(np.int64).tolist(), strict=True)):
+                    data_of = np.frombuffer(around, np.uint8)
+                    both = mix(string_hashes(data_of, length)), mix(string_hashes(data_of, length, _BYTE2, _BASE2))
+                    for j, (s, t) in enumerate(zip(*(x.view(np.int64).tolist() for x in both), strict=True)):
                         add((s, t), [s, t, ids[r], ths[r], start + j, 1, None, False])
                 if size >= FLUSH:
                     yield from send()
@@ -309,8 +312,12 @@ def repeated_starts(found: DataFrame, length: int) -> DataFrame:
             own = np.repeat(np.arange(len(text)), starts_of)
             at = np.repeat(begins, starts_of) + np.arange(len(own)) - np.repeat(np.cumsum(starts_of) - starts_of, starts_of)
             key = mix(mix(string_hashes(data, length)[at]) ^ g[text].view(np.uint64)[own])
+            tell = string_hashes(data, length, _BYTE2, _BASE2)[at]
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
+            if (tell[order][1:] != tell[order][:-1])[same].any():  # different strings of one hash
+                order = np.lexsort((tell, key))
+                same = (key[order][1:] == key[order][:-1]) & (tell[order][1:] == tell[order][:-1])
             twice = np.zeros(len(key), bool)
             twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             # runs of repeated starts, broken where the surroundings change
@@ -350,14 +357,14 @@ def repeated_starts(found: DataFrame, length: int) -> DataFrame:
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the kept bytes; one row per document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, has_repeats (some byte was cut), and with texts the kept bytes; one row per document."""
     bounded_batches(docs.sparkSession)
     bits, marks = bitmaps(matched_suffixes(docs, length, batches), hot)
     runs = repeated_starts(surroundings(docs, length, bits, marks), length)
     cuts = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("cut")).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cut")
     d = keyed_text(docs, F.xxhash64("text").alias("th"))
     j = d.join(cuts, d["doc_id"].eqNullSafe(F.col("cut_id")) & (d["th"] == F.col("cut_th")), "left").select("doc_id", "text", F.col("cut.start").alias("start"), F.col("cut.n").alias("n"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "has_repeats", *(["kept"] if texts else [])]
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow:
@@ -378,9 +385,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, h
                 spans.append(n_spans)
                 sha.append(hashlib.sha256(out).hexdigest())
                 kept.append(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, spans)), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if texts else [])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, spans)), pa.array(sha, pa.string()), pa.array([len(x) for x in kept], pa.int64()), pa.array([x > 0 for x in gone], pa.bool_()), *([pa.array(kept, pa.binary())] if texts else [])], names=names)
 
-    return j.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return j.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, has_repeats boolean" + ", kept binary" * texts)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

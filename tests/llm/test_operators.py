@@ -368,6 +368,41 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [x.item_id for x in got[0].leaks] == [1, 3] and got[1].leaks == []
 
 
+def test_decontamination_blocks_by_passages_too(spark, monkeypatch):
+    items = [" ".join(f"q{k}w{j}" for j in range(20)) for k in range(4)]
+    bench = spark.createDataFrame([*enumerate(items), (1, items[1])], "item_id long, text string")
+    found = []
+    for most in (1000, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_QUERIES", most)
+        found.append({i: sorted({x.item_id for x in r.leaks}) for i, r in by_id(decontamination.with_leaks(table(spark, [f"aa {items[1]} bb {items[3]}", "nothing", None]), bench)).items()})
+    assert found[0] == found[1] == {0: [1, 3], 1: [], 2: []}
+
+
+def test_decontamination_cosine_is_one(spark):
+    items = [" ".join(f"q{k}w{j}" for j in range(10)) for k in range(5)]
+    texts = [items[0] + " q0w3" * 30, items[1], items[2] + " other words of no item " * 3, *(f"plain text number {k} and no more" for k in range(200))]
+    n, df = len(texts), {}
+    for t in texts:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    known = {w for i in items for w in i.split()}
+
+    def vector(t):
+        return {w: t.split().count(w) * (np.log((n + 1) / (df.get(w, 0) + 1)) + 0.1) for w in set(t.split()) & known}
+
+    def cosine(a, b):
+        a, b = vector(a), vector(b)
+        return sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    got = by_id(decontamination.with_leaks(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    for k, t in enumerate(texts[:3]):
+        truth = cosine(t, items[k])
+        if truth >= decontamination.MIN_COSINE + 0.05:
+            assert [x.item_id for x in got[k].leaks] == [k] and abs(got[k].leaks[0].cosine - truth) < 0.05, truth
+    assert got[1].leaks[0].cosine > 0.95 and max(x.cosine for r in got.values() for x in r.leaks) < 1.0001
+    assert not any(r.leaks for i, r in got.items() if i > 2)
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(100):
