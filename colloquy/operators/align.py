@@ -53,24 +53,43 @@ def overlap_speakers(segments: DataFrame, turns: DataFrame, width: float) -> Dat
     return segments.join(best, ["session", "seg_id"], "left").select(segments["*"], F.coalesce("best.speaker", F.lit(UNKNOWN)).alias("speaker"), F.coalesce("best.overlap", F.lit(0)).alias("overlap"))
 
 
-def leaks(mic: DataFrame, system: DataFrame, window_ms: int, same: Column) -> DataFrame:
+def leaks(mic: DataFrame, system: DataFrame, window_ms: int, same: Column, slow: Column | None = None) -> DataFrame:
     """mic without rows that also stand in system at about the same time: both have at least four words, mine sixteen characters.
 
-    Columns session, id, start_ms, end_ms, norm (normalised text), tokens. `same` compares m.* with o.*. Buckets of time make the band an equi-join.
+    Columns session, id, start_ms, end_ms, norm (normalised text), tokens. `same` compares m.* with o.*, `slow` those pairs that same lets pass.
+    Buckets of time make the band an equi-join.
     """
     wide = 10 * window_ms
     bucket = lambda pad: F.explode(F.sequence(F.floor((F.col("start_ms") - pad) / wide), F.floor((F.col("end_ms") + pad) / wide)))
     m = mic.where((F.size("tokens") >= 4) & (F.length("norm") >= 16)).withColumn("bucket", bucket(window_ms)).alias("m")
     o = system.where(F.size("tokens") >= 4).withColumn("bucket", bucket(0)).alias("o")
     near = (F.col("m.session") == F.col("o.session")) & (F.col("m.bucket") == F.col("o.bucket")) & (F.col("o.end_ms") >= F.col("m.start_ms") - window_ms) & (F.col("o.start_ms") <= F.col("m.end_ms") + window_ms)
-    gone = m.join(o, near & same, "left_semi").select("session", "id").distinct()
+    if slow is None:
+        gone = m.join(o, near & same, "left_semi").select("session", "id").distinct()
+    else:
+        # A pair may share several buckets; the one where both have begun is enough.
+        once = F.greatest(F.floor((F.col("m.start_ms") - window_ms) / wide), F.floor(F.col("o.start_ms") / wide)) == F.col("m.bucket")
+        gone = m.join(o, near & once & same).where(slow).select("m.session", "m.id").distinct()
     return mic.join(gone, ["session", "id"], "left_anti")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts; the order of the arguments matters."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def may_agree(a: Column, b: Column, least: float) -> Column:
+    """Whether the lengths of two texts allow that sequence ratio: it is at most twice the shorter over both."""
+    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+
+
+def sequences_agree(a: Column, b: Column, least: float) -> Column:
+    """Whether the Ratcliff-Obershelp ratio of two texts reaches least; the order of the arguments matters.
+
+    Shared letters bound the ratio from above and are counted first.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        made = (difflib.SequenceMatcher(None, p or "", q or "") for p, q in zip(x, y, strict=True))
+        return pd.Series([m.quick_ratio() >= least and m.ratio() >= least for m in made], dtype="bool")
+
+    return agree(a, b)
 
 
 def collapse_speakers(segments: DataFrame) -> DataFrame:

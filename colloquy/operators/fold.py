@@ -1,12 +1,14 @@
-"""Order-dependent cleaning: each session (or phrase) is folded in order by a grouped pandas function.
+"""Order-dependent cleaning: each session (or stretch of a phrase) is folded in order, Arrow batch by Arrow batch.
 
-What windows can say stays in windows; here results feed back into later decisions. Groups are sessions, which an export's own
-limits bound (20,000 entries), so a group fits a task whatever the number of sessions.
+What windows can say stays in windows; here results feed back into later decisions. A fold never holds a whole session: between two
+batches it keeps what can still change, which each operator states. A session of any length is so one sorted stream in a task.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,27 +25,38 @@ MERGE_MS, CLOSE_MS, LOOK_BACK = 90_000, 3_000, 50
 TURN_GAP_MS, TURN_MS, TURN_WORDS = 2_500, 90_000, 300
 LOOP_MIN_MS, LOOP_MAX_MS, LOOP_COUNT = 20_000, 40_000, 4
 GENERIC = frozenset({"дякую"})
+#: Rows that leave a fold together.
+OUT_ROWS = 5_000
 
 
-def _fold(df: DataFrame, keys: list[str], schema: str, order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """f on the rows of each group in order. Groups come sorted, many to an Arrow batch; the last of a batch waits for the next batch."""
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of every run of equal keys in each batch; a group that spans batches comes in several runs."""
+    for rows in frames:
+        if not len(rows):
+            continue
+        k = rows[keys]
+        same = ((k == k.shift()) | (k.isna() & k.shift().isna())).all(axis=1).to_numpy()
+        same[0] = False
+        cuts = [*np.flatnonzero(~same), len(rows)]
+        for a, z in itertools.pairwise(cuts):
+            yield tuple(None if pd.isna(x) else x for x in k.iloc[a]), rows.iloc[a:z].reset_index(drop=True)
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([f(g.reset_index(drop=True)) for _, g in rows.groupby(keys, sort=False, dropna=False)], ignore_index=True)
+
+def _fold(df: DataFrame, keys: list[str], schema: str, order: list[str], f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """f on the rows of each group in order, which it gets in parts; its small results leave together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for rows in frames:
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            if not len(rows):
-                continue
-            k, last = rows[keys], rows[keys].iloc[-1]
-            open_ = ((k == last) | (k.isna() & last.isna())).all(axis=1)
-            held = rows[open_]
-            if not open_.all():
-                yield each(rows[~open_])
-        if held is not None and len(held):
-            yield each(held)
+        made, n = [], 0
+        for _, parts in itertools.groupby(_runs(frames, keys), key=lambda x: x[0]):
+            for out in f(rows for _, rows in parts):
+                if len(out):
+                    made.append(out)
+                    n += len(out)
+                if n >= OUT_ROWS:
+                    yield pd.concat(made, ignore_index=True)
+                    made, n = [], 0
+        if made:
+            yield pd.concat(made, ignore_index=True)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -56,20 +69,32 @@ def drop_bursts(entries: DataFrame, window_ms: int = BURST_MS) -> DataFrame:
     """entries (with candidate, see clean.recent_replays) without replayed bursts.
 
     A burst is all rows within window_ms of its first one. Its candidates go if one of them has ANCHOR_WORDS words; else those of
-    BURST_WORDS words go if there are two of them.
+    BURST_WORDS words go if there are two of them. Held between batches: the last burst.
     """
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
+    def judged(rows: pd.DataFrame) -> tuple[np.ndarray, int]:
+        """Which rows stay, and where the last burst begins."""
         start, cand = rows["start_ms"].to_numpy(), rows["candidate"].to_numpy(bool)
         n = rows["text"].map(lambda t: len(tokens(t))).to_numpy()
-        keep, at = np.ones(len(rows), bool), 0
+        keep, at, first = np.ones(len(rows), bool), 0, 0
         while at < len(rows):
+            first = at
             end = int(np.searchsorted(start, start[at] + window_ms, side="right"))
             c, words = cand[at:end], n[at:end]
             some = c & (words >= BURST_WORDS)
             keep[at:end] = ~(c if (c & (words >= ANCHOR_WORDS)).any() else some if some.sum() >= 2 else np.zeros(end - at, bool))
             at = end
-        return rows[keep]
+        return keep, first
+
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for rows in parts:
+            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            keep, last = judged(held)
+            yield held[:last][keep[:last]]
+            held = held[last:].reset_index(drop=True)
+        if held is not None:
+            yield held[judged(held)[0]]
 
     return _fold(entries, ["session"], _ddl(entries), ["start_ms", "ord"], f)
 
@@ -78,7 +103,8 @@ def merge_related(entries: DataFrame) -> DataFrame:
     """Growing, corrected and repeated captions of one speaker as one row: the row first seen, its text and end carried on.
 
     A row looks back over at most LOOK_BACK results until one ended more than MERGE_MS before it; equal and fuzzy texts count within
-    CLOSE_MS only. Chat and long rows that agree exactly with one before are dropped.
+    CLOSE_MS only. Chat and long rows that agree exactly with one before are dropped. Held between batches: LOOK_BACK rows, and 16 bytes for
+    every different chat or long row of the session.
     """
 
     def match(row, kept: list[dict]) -> dict | None:
@@ -95,30 +121,39 @@ def merge_related(entries: DataFrame) -> DataFrame:
                 return old
         return None
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
+    def name(kind: str, speaker: str, text: str) -> bytes:
+        return hashlib.blake2b(repr((kind, speaker, text)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[dict] = []
-        exact: set[tuple] = set()
-        for row in rows.itertuples(index=False):
-            key = (row.kind, row.speaker, row.text)
-            notable = row.kind == "chat" or is_long(row.text)
-            if notable and key in exact:
-                continue
-            old = match(row, kept)
-            if old is None:
-                kept.append(row._asdict())
-            else:
-                old["text"] = related(old["text"], row.text, row.start_ms - old["end_ms"] <= CLOSE_MS) or max(old["text"], row.text, key=len)
-                old["end_ms"] = max(old["end_ms"], row.end_ms)
-                key, notable = (row.kind, row.speaker, old["text"]), row.kind == "chat" or is_long(old["text"])
-            if notable:
-                exact.add(key)
-        return pd.DataFrame(kept, columns=rows.columns)
+        exact: set[bytes] = set()
+        for rows in parts:
+            for row in rows.itertuples(index=False):
+                text, notable = row.text, row.kind == "chat" or is_long(row.text)
+                if notable and name(row.kind, row.speaker, text) in exact:
+                    continue
+                old = match(row, kept)
+                if old is None:
+                    kept.append(row._asdict())
+                else:
+                    text = old["text"] = related(old["text"], row.text, row.start_ms - old["end_ms"] <= CLOSE_MS) or max(old["text"], row.text, key=len)
+                    old["end_ms"] = max(old["end_ms"], row.end_ms)
+                    notable = row.kind == "chat" or is_long(text)
+                if notable:
+                    exact.add(name(row.kind, row.speaker, text))
+            yield pd.DataFrame(kept[:-LOOK_BACK], columns=rows.columns)
+            kept = kept[-LOOK_BACK:]
+        if kept:
+            yield pd.DataFrame(kept)
 
     return _fold(entries, ["session"], _ddl(entries), ["start_ms", "ord"], f)
 
 
 def assemble_turns(entries: DataFrame, gap_ms: int = TURN_GAP_MS, span_ms: int = TURN_MS, words: int = TURN_WORDS) -> DataFrame:
-    """Captions of one speaker in a row as turns, unless a pause, the turn's length or its words are too much, or a short reply repeats."""
+    """Captions of one speaker in a row as turns, unless a pause, the turn's length or its words are too much, or a short reply repeats.
+
+    Held between batches: the last turn.
+    """
 
     def joins(turn: dict, row) -> bool:
         if turn["kind"] != "caption" or row.kind != "caption" or turn["speaker"] != row.speaker:
@@ -129,14 +164,18 @@ def assemble_turns(entries: DataFrame, gap_ms: int = TURN_GAP_MS, span_ms: int =
         short_echo = len(new) <= 3 and turn["text"].casefold() == row.text.casefold()
         return not short_echo and len(tokens(turn["text"])) + len(new) <= words
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turns: list[dict] = []
-        for row in rows.itertuples(index=False):
-            if turns and joins(turns[-1], row):
-                turns[-1].update(text=stitch(turns[-1]["text"], row.text), end_ms=max(turns[-1]["end_ms"], row.end_ms))
-            else:
-                turns.append(row._asdict())
-        return pd.DataFrame(turns, columns=rows.columns)
+        for rows in parts:
+            for row in rows.itertuples(index=False):
+                if turns and joins(turns[-1], row):
+                    turns[-1].update(text=stitch(turns[-1]["text"], row.text), end_ms=max(turns[-1]["end_ms"], row.end_ms))
+                else:
+                    turns.append(row._asdict())
+            yield pd.DataFrame(turns[:-1], columns=rows.columns)
+            turns = turns[-1:]
+        if turns:
+            yield pd.DataFrame(turns)
 
     return _fold(entries, ["session"], _ddl(entries), ["start_ms", "ord"], f)
 
@@ -160,22 +199,30 @@ def looping(times: list[int]) -> set[int]:
 def drop_periodic(rows: DataFrame) -> DataFrame:
     """rows (session, ord, phrase, start_ms, ...) without loops of one phrase: the first stays, of generic phrases none.
 
-    A generic phrase with eight and more looping places that are three quarters of all its places goes altogether. Groups are the
-    places of one phrase in one session.
+    A generic phrase with eight and more looping places that are three quarters of all its places goes altogether. No chain passes a
+    pause of over LOOP_MAX_MS, so a phrase is folded by the stretches between such pauses; the rest is said by windows. Held: a stretch.
     """
-
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        phrase = g["phrase"].iat[0]
-        loop = looping(g["start_ms"].tolist()) if phrase and len(g) >= LOOP_COUNT else set()
-        if phrase in GENERIC:
-            drop = set(range(len(g))) if len(loop) >= 8 and len(loop) >= 0.75 * len(g) else loop
-        else:
-            drop = loop - {min(loop)} if loop else loop
-        return g.drop(index=list(drop))
-
-    # Phrases too rare to loop need no fold.
-    d = rows.withColumn("said", F.count(F.lit(1)).over(Window.partitionBy("session", "phrase")))
-    return d.where(F.col("said") < LOOP_COUNT).drop("said").unionByName(_fold(d.where(F.col("said") >= LOOP_COUNT).drop("said"), ["session", "phrase"], _ddl(rows), ["start_ms", "ord"], f))
+    named = ("loop__stretch", "loop__said", "loop__on")
+    in_time = Window.partitionBy("session", "phrase").orderBy("start_ms", "ord")
+    pause = F.col("start_ms") - F.lag("start_ms").over(in_time) > LOOP_MAX_MS
+    d = rows.withColumn(named[0], F.sum(F.when(pause, 1).otherwise(0)).over(in_time))
+    d = d.withColumn(named[1], F.count(F.lit(1)).over(Window.partitionBy("session", "phrase", named[0]))).withColumn(named[2], F.lit(False))
+
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(parts), ignore_index=True)
+        on = np.zeros(len(g), bool)
+        on[list(looping(g["start_ms"].tolist()))] = True
+        yield g.assign(**{named[2]: on})
+
+    # Stretches too short to loop need no fold.
+    may = (F.col(named[1]) >= LOOP_COUNT) & (F.coalesce("phrase", F.lit("")) != "")
+    d = d.where(~may).unionByName(_fold(d.where(may), ["session", "phrase", named[0]], _ddl(d), ["start_ms", "ord"], f))
+    every, on = Window.partitionBy("session", "phrase"), F.col(named[2])
+    n_on = F.count_if(on).over(every)
+    generic = F.coalesce(F.col("phrase").isin(*GENERIC), F.lit(False))
+    all_of_it = generic & (n_on >= 8) & (n_on >= 0.75 * F.count(F.lit(1)).over(every))
+    first = F.row_number().over(Window.partitionBy("session", "phrase", named[2]).orderBy("start_ms", "ord")) == 1
+    return d.withColumn("loop__goes", all_of_it | (on & (generic | ~first))).where(~F.col("loop__goes")).drop("loop__goes", *named)
 
 
 def _order(value: int) -> int:
@@ -207,18 +254,20 @@ def greedy_dedup(items: DataFrame) -> DataFrame:
     """Items in order, each merged into the first survivor it duplicates: survivors change as they absorb, so chains don't merge.
 
     Columns session, item_id, type, status, claim, deadline, source_order, owners and quotes (normalised, not empty); merged counts the items in each.
+    Held between batches: the session's survivors.
     """
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[dict] = []
-        for r in rows.drop(columns="place").to_dict("records"):
-            r |= {"quotes": list(r["quotes"]), "owners": list(r["owners"]), "merged": 1}
-            k = next((k for k, x in enumerate(kept) if duplicates(x, r)), None)
-            if k is None:
-                kept.append(r)
-            else:
-                kept[k] = absorb(kept[k], r)
-        return pd.DataFrame(sorted(kept, key=lambda x: _order(x["source_order"])))
+        for rows in parts:
+            for r in rows.drop(columns="place").to_dict("records"):
+                r |= {"quotes": list(r["quotes"]), "owners": list(r["owners"]), "merged": 1}
+                k = next((k for k, x in enumerate(kept) if duplicates(x, r)), None)
+                if k is None:
+                    kept.append(r)
+                else:
+                    kept[k] = absorb(kept[k], r)
+        yield pd.DataFrame(sorted(kept, key=lambda x: _order(x["source_order"])))
 
     ready = items.withColumn("place", F.when(F.col("source_order") > 0, F.col("source_order")).otherwise(LAST))
     return _fold(ready, ["session"], _ddl(items) + ", merged long", ["place", "item_id"], f)
@@ -227,15 +276,15 @@ def greedy_dedup(items: DataFrame) -> DataFrame:
 def diverse_selection(items: DataFrame, limit: int = 7) -> DataFrame:
     """At most limit themes a session: distinct claims, five spread evenly in time, then the best unlike those, then the earliest.
 
-    Columns session, item_id, type, confidence, claim, source_order, quotes.
+    Columns session, item_id, type, confidence, claim, source_order, quotes. Held between batches: the session's distinct claims.
     """
 
     def score(x: dict) -> tuple:
         return THEME_CONFIDENCE.get(x["confidence"], 2), THEME_TYPE_SCORE.get(x["type"], 0), len(x["quotes"])
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distinct: list[dict] = []
-        for r in rows.to_dict("records"):
+        for r in (r for rows in parts for r in rows.to_dict("records")):
             k = next((k for k, x in enumerate(distinct) if duplicates(x, r) or claim_similarity(x["claim"], r["claim"]) >= 0.80), None)
             if k is None:
                 distinct.append(r)
@@ -250,23 +299,27 @@ def diverse_selection(items: DataFrame, limit: int = 7) -> DataFrame:
             chosen += [k for k in range(len(distinct)) if k not in chosen][: limit - len(chosen)]
             distinct = [distinct[k] for k in chosen]
         out = sorted(distinct, key=lambda x: (_order(x["source_order"]), x["item_id"]))
-        return pd.DataFrame({"session": [x["session"] for x in out], "item_id": [x["item_id"] for x in out]})
+        yield pd.DataFrame({"session": [x["session"] for x in out], "item_id": [x["item_id"] for x in out]})
 
     live = items.where(F.col("type").isin(*THEME_TYPE_SCORE) & (F.trim("claim") != "")).withColumn("place", F.when(F.col("source_order") > 0, F.col("source_order")).otherwise(LAST))
     return _fold(live, ["session"], "session long, item_id long", ["place", "item_id"], f)
 
 
 def pack_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """lines (session, ord, text) with chunk: lines in order, a new chunk where the next one (and its line end) would pass limit characters."""
-
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows["text"].str.len().to_numpy() + 1
-        chunk, size, out = 0, 0, []
-        for n in sizes:
-            if size and size + n > limit:
-                chunk, size = chunk + 1, 0
-            size += n
-            out.append(chunk)
-        return rows.assign(chunk=out)
+    """lines (session, ord, text) with chunk: lines in order, a new chunk where the next one (and its line end) would pass limit characters.
+
+    Held between batches: the chunk's number and size.
+    """
+
+    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, size = 0, 0
+        for rows in parts:
+            out = []
+            for n in rows["text"].str.len().to_numpy() + 1:
+                if size and size + n > limit:
+                    chunk, size = chunk + 1, 0
+                size += n
+                out.append(chunk)
+            yield rows.assign(chunk=out)
 
     return _fold(lines, ["session"], _ddl(lines) + ", chunk long", ["ord"], f)

@@ -184,25 +184,44 @@ def grounded_language(claim: Column, quotes: Column, letters: str = "А-Яа-я
     own, every = F.length(F.regexp_replace(claim, f"[^{letters}]", "")), F.length(F.regexp_replace(claim, f"[^A-Za-z{letters}]", ""))
     longest = F.aggregate(F.transform(quotes, clean_text), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     use = (every > 0) & (own < least * every) & longest.rlike(f"[{letters}]")
-    return F.when(use, F.concat(F.upper(F.substring(longest, 1, 1)), F.substring(longest, 2, 20_000))).otherwise(claim)
+    return F.when(use, F.concat(F.upper(F.substring(longest, 1, 1)), F.substring(longest, 2, 2**31 - 1))).otherwise(claim)
+
+
+def claim_tokens(items: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
+    """by, item_id, the distinct words of the claim in their order by code point, and a name of that set; claims without a word are left out."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(evidence_norm(F.col("claim")), " "), lambda x: x != "")))
+    return items.select(*by, "item_id", words.alias("tokens")).where(F.size("tokens") > 0).withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+
+
+def claim_classes(items: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
+    """(by, item_id, representative): the least item_id among claims of the same words stands for them all."""
+    t = claim_tokens(items, by).select(*by, "item_id", "set").alias("t")
+    least = t.groupBy(*by, "set").agg(F.min("item_id").alias("representative")).alias("r")
+    return t.join(least, [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "set")]).select(*(F.col(f"t.{c}") for c in by), "item_id", "representative")
 
 
 def duplicate_pairs(items: DataFrame, least: float = 0.84, by: Sequence[str] = ("session",)) -> DataFrame:
     """(by, a, b, similarity) with a < b whose claims' token sets have that Jaccard similarity at least.
 
+    a and b are representatives: n claims of the same words are one here, see claim_classes() for the members. item_id is unique within by.
     Prefix filtering: in one global order of tokens, rarest first, two such sets share a token among their first
     size - ceil(least * size) + 1 ones. So only those are joined on, and lengths must fit.
     """
-    t = items.select(*by, "item_id", F.array_distinct(F.filter(F.split(evidence_norm(F.col("claim")), " "), lambda x: x != "")).alias("tokens")).where(F.size("tokens") > 0)
+    every = claim_tokens(items, by)
+    first = every.groupBy(*by, "set").agg(F.min("item_id").alias("item_id"))
+    t = every.alias("t").join(first.alias("r"), [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "set", "item_id")], "left_semi").select(*by, "item_id", "tokens")
     flat = t.select(*by, "item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rank = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy(*by, "item_id").orderBy("df", "token"))
     pre = flat.join(rank, "token").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*by, "item_id", "n", "token")
     a, b = pre.alias("a"), pre.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "token")] + [F.col("a.item_id") < F.col("b.item_id"), F.col("a.n") >= F.col("b.n") * least, F.col("b.n") >= F.col("a.n") * least]
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "token")] + [F.col("a.item_id") < F.col("b.item_id"), F.col("a.n") >= F.col("b.n") * least, F.col("b.n") >= F.col("a.n") * least]
     cand = a.join(b, on).select(*(F.col(f"a.{c}") for c in by), F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
-    sets = t.select("item_id", "tokens")
-    j = cand.join(sets.withColumnsRenamed({"item_id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"item_id": "b", "tokens": "tb"}), "b")
+    j = cand.alias("c")
+    for side in ("a", "b"):
+        own = [F.col(f"c.{c}").eqNullSafe(F.col(f"{side}.{c}")) for c in by]
+        j = j.join(t.alias(side), [F.col(f"c.{side}") == F.col(f"{side}.item_id"), *own])
+    j = j.select(*(F.col(f"c.{c}") for c in by), F.col("c.a"), F.col("c.b"), F.col("a.tokens").alias("ta"), F.col("b.tokens").alias("tb"))
     return j.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select(*by, "a", "b", "similarity")
 
 

@@ -62,10 +62,8 @@ def mic_leak_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the sequence ratio of the normalised texts."""
     norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_ ]", ""))
     t = document_lines(spark, sf_dir).select("session", F.col("ord").alias("id"), "start_ms", "end_ms", norm.alias("norm"), F.filter(F.split(norm, " +"), lambda x: x != "").alias("tokens"))
-    m, o = t.where("id % 2 = 0"), t.where("id % 2 = 1")
-    near = m.alias("m").where((F.size("tokens") >= 4) & (F.length("norm") >= 16)).join(o.alias("o").where(F.size("tokens") >= 4), F.col("m.session") == F.col("o.session")).where("o.end_ms >= m.start_ms - 30000 and o.start_ms <= m.end_ms + 30000")
-    gone = near.where(A.sequence_ratio(F.col("m.norm"), F.col("o.norm")) >= 0.85).select("m.session", "m.id").distinct()
-    return m.join(gone, ["session", "id"], "left_anti").select("session", "id")
+    mine, other = F.col("m.norm"), F.col("o.norm")
+    return A.leaks(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 30_000, A.may_agree(mine, other, 0.85), A.sequences_agree(mine, other, 0.85)).select("session", "id")
 
 
 @query("""with s as (select user_id as session, event_id, case when event_id % 211 = 0 then 'B' when event_id % 223 = 0 then 'C' when event_id % 10 = 3 then 'UNKNOWN' else 'A' end as speaker, 0.0 as st, case when event_id % 211 = 0 or event_id % 223 = 0 then 2.0 else 60.0 end as en from events),

@@ -1,4 +1,4 @@
-"""Queries on folds; tests hold them against row-at-a-time models."""
+"""Queries on folds; tests hold some of the folds against row-at-a-time models, and all of them at several sizes of batches."""
 
 from __future__ import annotations
 

@@ -72,20 +72,25 @@ def claim_token_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ground_claims(d, "said", F.col("support"), "claim").select("o_orderkey", "claim")
 
 
-@query("""with t as (select doc_id, substr(text, 1, 60) as c, substr(text, 61, 200) as q from documents), r as (select *, length(regexp_replace(c, '[^äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as own, length(regexp_replace(c, '[^A-Za-zäöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as every, trim(regexp_replace(q, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) as quote from t)
+@query("""with t as (select doc_id, string_split(text, chr(10)) as l from documents), q as (select doc_id, l[1] as c, list_transform(l[2:], lambda x: trim(regexp_replace(x, '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))) as quotes from t),
+ r as (select *, length(regexp_replace(c, '[^äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as own, length(regexp_replace(c, '[^A-Za-zäöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]', '', 'g')) as every, list_filter(quotes, lambda x: length(x) = list_max(list_transform(quotes, lambda y: length(y))))[1] as quote from q)
 select doc_id, case when every > 0 and own < 0.05 * every and regexp_matches(quote, '[äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ]') then upper(substr(quote, 1, 1)) || substr(quote, 2) else c end as claim from r""")
 def language_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accented letters as the script asked for."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("c"), F.array(F.substring("text", 61, 200)).alias("q"))
+    """A text's first line as the claim and all others as its quotes, accented letters as the script asked for."""
+    line = F.split("text", "\n", -1)
+    d = table(spark, sf_dir, "documents").select("doc_id", line[0].alias("c"), F.slice(line, F.lit(2), F.size(line)).alias("q"))
     return d.select("doc_id", L.grounded_language(F.col("c"), F.col("q"), "äöüßéèêçàñóíúÄÖÜÉÈÊÇÀÑÓÍÚ", 0.05).alias("claim"))
 
 
-@query(f"""with d as (select doc_id, lang, list_distinct(list_filter(string_split({NORM.format("text")}, ' '), lambda x: x <> '')) as t from documents where length(text) between 100 and 3000)
-select a.lang, a.doc_id as a, b.doc_id as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from d a join d b on a.lang = b.lang and a.doc_id < b.doc_id and len(a.t) >= 0.84 * len(b.t) and len(b.t) >= 0.84 * len(a.t) and len(list_intersect(a.t, b.t)) >= 0.84 * len(list_distinct(list_concat(a.t, b.t)))""")
+@query(f"""with n as (select doc_id, lang, list_sort(list_distinct(list_filter(string_split({NORM.format("text")}, ' '), lambda x: x <> ''))) as t from documents), c as (select *, min(doc_id) over (partition by lang, t) as r from n where len(t) > 0),
+ d as (select lang, doc_id, t, len(t) as n from c where doc_id = r)
+select lang, r as a, doc_id as b, 1.0::double as similarity from c where doc_id > r
+union all select a.lang, a.doc_id, b.doc_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) from d a join d b on a.lang is not distinct from b.lang and a.doc_id < b.doc_id and a.n >= 0.84 * b.n and b.n >= 0.84 * a.n and len(list_intersect(a.t, b.t)) >= 0.84 * (a.n + b.n) / 1.84""")
 def claim_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims are texts of 100 to 3000 characters, as long as a claim gets; they are compared within a language."""
-    d = table(spark, sf_dir, "documents").where(F.length("text").between(100, 3000)).select("lang", F.col("doc_id").alias("item_id"), F.col("text").alias("claim"))
-    return L.duplicate_pairs(d, 0.84, ["lang"]).select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
+    """Whole texts as claims, compared within a language: similar pairs of representatives, and for every other member its representative at 1."""
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("item_id"), F.col("text").alias("claim"))
+    members = L.claim_classes(d, ["lang"]).where("item_id > representative").select("lang", F.col("representative").alias("a"), F.col("item_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return L.duplicate_pairs(d, 0.84, ["lang"]).select("lang", "a", "b", F.round("similarity", 6).alias("similarity")).union(members)
 
 
 @query(f"""with {ITEMS_SQL}, r as (select *, row_number() over (partition by session, claim order by case type when 'decision' then 90 when 'commitment' then 80 when 'open_question' then 70 when 'proposal' then 60 else 50 end desc, case status when 'active' then 4 when 'open' then 3 when 'completed' then 2 else 0 end desc, n_evidence desc, source_order desc, item_id) as k from items)

@@ -1,10 +1,11 @@
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import similarity as M
-from colloquy.operators import align, clean, fold
+from colloquy.operators import align, clean, fold, ledger
 
 ENTRY = "session string, ord long, speaker string, kind string, text string, start_ms long, end_ms long"
 
@@ -107,3 +108,77 @@ def test_overlap_and_words(spark):
 def test_collapse(spark, times, speakers):
     rows = [("s", "ABC"[i], 0.0, t) for i, t in enumerate(times)]
     assert {r.speaker for r in align.collapse_speakers(spark.createDataFrame(rows, "session string, speaker string, start double, end double")).collect()} == speakers
+
+
+def folded(spark, rows_in_batch):
+    rng = random.Random(5)
+    words = "we will start on friday with the budget and then look at hiring plans for next year".split()
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([0, 40, 900, 2000, 30_000])
+        n = rng.choice([1, 2, 4, 6, 14])
+        k = rng.randrange(len(words) - 2)
+        rows.append((rng.choice("AB"), rng.choice(["caption", "caption", "chat"]), " ".join((words[k:] + words)[:n]), at, at + 800))
+    d = entries(spark, rows, "hot").union(entries(spark, rows[:7], "cold"))
+    items = d.select(F.col("ord").alias("item_id"), F.length("session").cast("long").alias("session"), F.lit("fact").alias("type"), F.lit("open").alias("status"), F.lit("high").alias("confidence"), F.col("text").alias("claim"), F.lit("").alias("deadline"), (F.col("ord") % 50).alias("source_order"), F.array(F.lit("A")).alias("owners"), F.array(F.concat(F.lit("quote "), "ord")).alias("quotes"))
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, str(rows_in_batch))
+    try:
+        made = [
+            fold.drop_bursts(d.withColumn("candidate", F.col("ord") % 3 > 0)), fold.merge_related(d), fold.assemble_turns(d), fold.pack_lines(d.select("session", "ord", "text"), 100),
+            fold.drop_periodic(d.select("session", "ord", F.col("speaker").alias("phrase"), "start_ms")), fold.greedy_dedup(items), fold.diverse_selection(items),
+        ]
+        return [sorted(map(str, x.collect())) for x in made]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_folds_do_not_depend_on_batches(spark):
+    whole = folded(spark, 10_000)
+    assert all(whole)
+    assert folded(spark, 3) == whole
+
+
+def test_periodic_against_whole_groups(spark):
+    rng = random.Random(8)
+    rows = []
+    for phrase in ("дякую", "hello", "", "bye", None):
+        at = 0
+        for _ in range(60):
+            at += rng.choice([5_000, 20_000, 25_000, 40_000, 41_000, 90_000])
+            rows.append(("s", len(rows), phrase, at))
+    rows += [("t", 1000 + i, "дякую", 30_000 * i) for i in range(12)]
+    want = []
+    for key in {(r[0], r[2]) for r in rows}:
+        g = sorted((r for r in rows if (r[0], r[2]) == key), key=lambda r: (r[3], r[1]))
+        loop = fold.looping([r[3] for r in g]) if key[1] else set()
+        gone = (set(range(len(g))) if len(loop) >= 8 and len(loop) >= 0.75 * len(g) else loop) if key[1] == "дякую" else loop - {min(loop, default=None)}
+        want += [r[1] for k, r in enumerate(g) if k not in gone]
+    d = fold.drop_periodic(spark.createDataFrame(rows, "session string, ord long, phrase string, start_ms long"))
+    assert d.columns == ["session", "ord", "phrase", "start_ms"]
+    assert sorted(r.ord for r in d.collect()) == sorted(want)
+
+
+def test_leaks_by_sequence_against_all_pairs(spark):
+    rng = random.Random(4)
+    said = ["we should look at the budget again", "the budget should be looked at again", "so we ship the new build on monday", "yes", "a b c d", ""]
+    rows = [(rng.choice("st"), i, t := rng.randrange(0, 3_000_000), t + rng.choice([500, 400_000]), "".join(c for c in rng.choice(said) if rng.random() > 0.05).strip()) for i in range(120)]
+    d = spark.createDataFrame(rows, "session string, id long, start_ms long, end_ms long, norm string").withColumn("tokens", F.filter(F.split("norm", " +"), lambda x: x != ""))
+    a, b = F.col("m.norm"), F.col("o.norm")
+    made = align.leaks(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 30_000, align.may_agree(a, b, 0.85), align.sequences_agree(a, b, 0.85))
+    gone = {
+        m[1] for m in rows for o in rows
+        if m[0] == o[0] and m[1] % 2 == 0 and o[1] % 2 == 1 and len(m[4]) >= 16 and len(m[4].split()) >= 4 and len(o[4].split()) >= 4
+        and o[3] >= m[2] - 30_000 and o[2] <= m[3] + 30_000 and difflib.SequenceMatcher(None, m[4], o[4]).ratio() >= 0.85
+    }
+    assert gone
+    assert sorted(r.id for r in made.collect()) == [r[1] for r in rows if r[1] % 2 == 0 and r[1] not in gone]
+
+
+def test_equal_claims_are_one_class(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta"] * 40 + ["Eta zeta, epsilon delta gamma beta alpha!"] * 10 + ["alpha beta gamma delta epsilon zeta eta theta", "iota", None, ""]
+    d = spark.createDataFrame([(None if i % 2 else "x", i, t) for i, t in enumerate(texts)], "session string, item_id long, claim string")
+    classes = {r.item_id: r.representative for r in ledger.claim_classes(d).collect()}
+    assert classes == {i: i % 2 if i < 50 else i for i in range(52)}
+    pairs = [(r.session, r.a, r.b, round(r.similarity, 6)) for r in ledger.duplicate_pairs(d).collect()]
+    assert pairs == [("x", 0, 50, 0.875)]
