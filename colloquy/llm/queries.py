@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op10_decontamination
 from .language_id import op1_language_id
 from .mixing import op9_mixing
+from .periodic_runs import op11_periodic_runs
 from .pii import op6_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op8_quality_rules
@@ -19,7 +20,10 @@ from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_decontamination)
+    for f in (
+        op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_decontamination,
+        op11_periodic_runs,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
