@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_decontamination
 from .language_id import op1_language_id
+from .lexical_search import OP13_SQL, op13_lexical_search
 from .mixing import op9_mixing
 from .periodic_runs import op11_periodic_runs
 from .pii import op6_pii
@@ -22,8 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_decontamination,
-        op11_periodic_runs,
+        op11_periodic_runs, op13_lexical_search,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_lexical_search": OP13_SQL}
