@@ -10,6 +10,7 @@ from .decontamination import op10_decontamination
 from .language_id import op1_language_id
 from .lexical_search import OP13_SQL, op13_lexical_search
 from .mixing import op9_mixing
+from .nearest_neighbours import op12_nearest_neighbours
 from .periodic_runs import op11_periodic_runs
 from .pii import op6_pii
 from .quality_classifier import op7_quality_classifier
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_substring_dedup, op3_simhash, op4_token_counts, op5_suffix_dedup, op6_pii, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_decontamination,
-        op11_periodic_runs, op13_lexical_search,
+        op11_periodic_runs, op12_nearest_neighbours, op13_lexical_search,
     )
 }
 
