@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "Невідомий"
 MAX_SPEAKER, MAX_TEXT = 200, 20_000
+#: Code points of Latin letters with accents, and the letter each begins with once taken apart; combining accents, last, go.
+_APART = {c: unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+_PLAIN_LETTERS = {c: base for c, base in _APART.items() if base.isascii() and base.isalpha()} | {c: None for c in range(0x300, 0x332)}
 
 
 def clean_inline(c: Column) -> Column:
@@ -37,6 +42,16 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def without_accents(text: str) -> str:
+    """Latin letters of both cases without their accents; all else stays."""
+    return text.translate(_PLAIN_LETTERS)
+
+
+def folded(c: Column) -> Column:
+    """without_accents of a column; Latin accents of their own are deleted too."""
+    return F.translate(c, "".join(map(chr, _PLAIN_LETTERS)), "".join(x or "" for x in _PLAIN_LETTERS.values()))
+
+
 def evidence_norm(c: Column) -> Column:
     """Lower case, everything but letters, digits and the underscore as one space, stripped."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))

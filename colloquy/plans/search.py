@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, word_tokens
+from ..functions.text import folded, normalized, word_tokens
 from ..operators import search as S
-from ..sources.tables import MEETINGS_SQL, TURNS_SQL, meetings, table, turns
+from ..operators.index import SearchIndex
+from ..operators.snippets import snippet
+from ..sources.tables import MEETINGS_SQL, TURNS_SQL, meetings, shared_path, table, turns
 from .registry import query
 
 #: Roles stand in for item kinds.
@@ -114,3 +116,75 @@ def participants_semi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("sys", "user"):
         out = out.join(bridge.where(F.contains("name", F.lit(name))), "session", "left_semi")
     return out.groupBy("session").agg(F.count(F.lit(1)).alias("turns"))
+
+
+def _snippet_sql(chunks: str, terms: list[str]) -> str:
+    """CTEs after `chunks` (chunk_id, text): snips (chunk_id, snippet) of chunks with a term; terms of four letters and more."""
+    wanted = ", ".join(f"('{t}')" for t in terms)
+    return f"""{chunks},
+  cut_up as (select chunk_id, regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+)', 1) as tk, regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}]*)[\\p{{L}}\\p{{N}}]+', 1) as gp, regexp_extract(text, '([^\\p{{L}}\\p{{N}}]*)$', 1) as tail from chunks),
+  flat as (select chunk_id, unnest(tk) as token, unnest(gp) as gap, unnest(range(len(tk))) as i, len(tk) as n, tail from cut_up),
+  terms(term) as (values {wanted}),
+  hits as (select chunk_id, i, n, term from flat join terms on starts_with(strip_accents(lower(token)), term)),
+  sentences as (select chunk_id, i from flat where i = 0 or regexp_matches(gap, '[.:][ \\t\\n\\r]+$')),
+  tried as (select distinct chunk_id, i as hit, n, 0 as kind, i as beg from hits
+     union all select h.chunk_id, h.i, h.n, 1, max(s.i) from (select distinct chunk_id, i, n from hits where n > 24) h join sentences s on s.chunk_id = h.chunk_id and s.i <= h.i group by h.chunk_id, h.i, h.n having max(s.i) < h.i),
+  per_term as (select t.chunk_id, t.hit, t.n, t.kind, t.beg, h.term, 1000 + count(*) - 1 as w, max(h.i) + 1 as last from tried t join hits h on h.chunk_id = t.chunk_id and h.i >= t.beg and h.i < t.beg + 24 group by all),
+  worth as (select chunk_id, hit, n, kind, beg, sum(w) + case when kind = 0 then 0 when beg = 0 then 120 else 100 end as worth, max(last) as last from per_term group by chunk_id, hit, n, kind, beg),
+  placed as (select *, case when kind = 1 then beg else greatest(least(beg - (24 - (last - beg)) // 2, n - 24), 0) end as start from worth),
+  best as (select chunk_id, n, arg_max(start, (worth, -2 * hit - kind)) as start from placed group by 1, 2),
+  shown as (select b.chunk_id, b.n, b.start, f.tail, f.i, case when f.i = b.start and b.start > 0 then '' else f.gap end || case when exists (select 1 from hits h where h.chunk_id = f.chunk_id and h.i = f.i) then '«' || f.token || '»' else f.token end as piece
+     from best b join flat f on f.chunk_id = b.chunk_id and f.i >= b.start and f.i < b.start + 24),
+  snips as (select chunk_id, trim(regexp_replace(case when start > 0 then ' … ' else '' end || string_agg(piece, '' order by i) || case when start + 24 < n then ' … ' else any_value(tail) end, '\\s+', ' ', 'g')) as snippet from shown group by chunk_id, start, n)"""
+
+
+_TURN_CHUNKS = f"{TURNS_SQL}, chunks as (select session || ':' || ord as chunk_id, session, ord, text from turns)"
+
+
+@query(f"with {_snippet_sql(_TURN_CHUNKS, ['that', 'with'])} select session, ord as ordinal, snippet from snips join chunks using (chunk_id)")
+def search_snippet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snippet of every turn that has a term of the query."""
+    d = _chunks(spark, sf_dir).where(F.exists(word_tokens(F.col("text")), lambda t: S.matches(t, "that") | S.matches(t, "with")))
+    return d.select("session", "ordinal", snippet(F.col("text"), ["that", "with"]).alias("snippet"))
+
+
+_DOC_CHUNKS = "chunks as (select doc_id as chunk_id, text from documents)"
+
+
+@query(f"with {_snippet_sql(_DOC_CHUNKS, ['ciones', 'erenthes', 'unden'])} select chunk_id as doc_id, snippet from snips")
+def search_snippet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of long texts, accents aside."""
+    terms = ["ciones", "erenthes", "unden"]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.exists(word_tokens(folded(F.col("text"))), lambda t: S.matches(t, terms[0]) | S.matches(t, terms[1]) | S.matches(t, terms[2])))
+    return d.select("doc_id", snippet(F.col("text"), terms).alias("snippet"))
+
+
+@query(_bm25_sql(["that", "with"]))
+def search_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first search again, from postings on disk: only the shards of its terms are read."""
+    index = SearchIndex(spark, shared_path(spark, "index"), ("text", "speaker"))
+    index.rebuild(_chunks(spark, sf_dir), meetings(spark, sf_dir))
+    return _found(index.search("that with", boosts=BOOSTS))
+
+
+def _half(d: DataFrame) -> DataFrame:
+    return d.where("session % 3 <> 0").withColumn("text", F.when(F.col("session") % 5 == 1, F.lit("that was another text")).otherwise(F.col("text"))) if "text" in d.columns else d.where("session % 3 <> 0")
+
+
+@query(_bm25_sql(["that", "user"], "c.speaker in ('assistant', 'system')", 50))
+def search_kept_index_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that held other sessions and other texts of some, brought up to date and searched with filters that leave none with all terms."""
+    index = SearchIndex(spark, shared_path(spark, "index"), ("text", "speaker"))
+    chunks, m = _chunks(spark, sf_dir), meetings(spark, sf_dir)
+    index.update(_half(chunks), _half(m))
+    index.update(chunks, m)
+    return _found(index.search("what about that user", limit=50, boosts=BOOSTS, kinds=["assistant", "system"]))
+
+
+@query("select case when conv_id % 3 = 0 or conv_id % 5 = 1 then 'indexed' else 'unchanged' end as change, count(distinct conv_id)::bigint as sessions from conversations group by 1 union all select 'removed', 0::bigint")
+def search_kept_index_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the update did: sessions indexed, left as they were, and removed."""
+    index = SearchIndex(spark, shared_path(spark, "index"), ("text", "speaker"))
+    chunks, m = _chunks(spark, sf_dir), meetings(spark, sf_dir)
+    index.update(_half(chunks), _half(m))
+    return spark.createDataFrame(list(index.update(chunks, m).items()), "change string, sessions long")

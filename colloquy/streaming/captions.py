@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,16 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import shared_path
+
 UPSERT_SCHEMA = "session long, key string, version long, text string, start_ms long, end_ms long, accepted long"
 STATE_SCHEMA = "version long, text string, start_ms long, end_ms long, accepted long"
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{folder}/{what}-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder as a file stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
