@@ -34,7 +34,7 @@ def section(markdown: Column, heading: str) -> Column:
 def bullets(markdown: Column, label: str) -> Column:
     """The bullet points right below a bold label on a line of its own."""
     block = F.regexp_extract(markdown, rf"(?m)^\*\*\Q{label}\E:\*\*\s*$\n((?:-\s+.*\n?)*)", 1)
-    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^-\s+(.*)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^-\s+(.*)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def newest_note(notes: DataFrame) -> DataFrame:
