@@ -4,17 +4,21 @@ The four base kinds are fixed: a match that fails its check (Luhn, address parts
 not tried again at another place. Further kinds (IBAN, social security number, secret) stand if their score, which a
 checksum and the words shortly before the span raise or lower, reaches ACCEPT. Base spans stay whatever their score.
 
-Null text counts as empty: no spans, and the hash of the empty string. Rows are independent, so repeated rows, ties and
-other columns don't matter. All patterns are possessive and anchored at run starts, so that texts of one endless
+Null text counts as empty: no spans, and the hash of the empty string. Rows are independent, so repeated rows and ties
+don't matter; other columns stay as they are, whatever their names (only a column called like the one asked for gives way to it). The time of a text grows with its length and its
+matches, not with their squares: places are running totals by blocks, and words near a span are cut from pieces of the text. All patterns are possessive and anchored at run starts, so that texts of one endless
 run of digits or letters take linear time and no stack. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from ..functions import arrays
+from .common import documents, spare
 
 #: kind -> (pattern, characters that any match holds). (?:\G|(?<!x)) starts at a run's start or where the match before
 #: ended, which are the only places where leftmost matches can start; ++ never gives back, and needn't here.
@@ -88,21 +92,25 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def _placed(text: Column, kind: str, found: Column) -> Column:
-    """The matches with their places: between them stands what split() leaves, so lengths add up to starts and ends."""
+    """The matches with their places: between them stands what split() leaves, so lengths add up to ends."""
     gaps = F.split(text, KINDS[kind][0], -1)
-    zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("o"))
-    step = lambda a, x: F.struct((a["p"] + F.length(x["g"]) + F.length(x["m"])).alias("p"), F.concat(a["o"], F.array(F.struct((a["p"] + F.length(x["g"])).alias("s"), (a["p"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("v")))).alias("o"))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda a: a["o"])).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    lengths = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: F.length(x["g"]) + F.length(x["m"]))
+    ends = arrays.running(lengths, lambda a, b: a + b, F.lit(0))
+    placed = F.transform(F.arrays_zip(found.alias("m"), ends.alias("e")), lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"), x["m"].alias("v")))
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
 
 
-def _scored(text: Column, kind: str, placed: Column) -> Column:
+def _scored(pieces: Column, kind: str, placed: Column) -> Column:
     ok = F.filter(placed, lambda x: _confirmed(kind, x["v"]))
 
     def score(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["s"] - REACH, F.lit(0)) + 1, F.least(x["s"], F.lit(REACH))))
-        out = F.lit(START[kind] + CHECKED.get(kind, 0.0)) + F.when(before.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
-        return out + (F.when(before.rlike(COUNTER[kind]), AGAINST).otherwise(0.0) if kind in COUNTER else 0.0)
+        before = F.lower(arrays.part(pieces, F.greatest(x["s"] - REACH, F.lit(0)), x["s"]))
+
+        def of(before: Column) -> Column:
+            out = F.lit(START[kind] + CHECKED.get(kind, 0.0)) + F.when(before.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
+            return out + (F.when(before.rlike(COUNTER[kind]), AGAINST).otherwise(0.0) if kind in COUNTER else 0.0)
+
+        return arrays.bound(before, of)
 
     rank = list(KINDS).index(kind)
     spans = F.transform(ok, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), score(x).alias("score")))
@@ -110,15 +118,17 @@ def _scored(text: Column, kind: str, placed: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
-    """docs with an array of (s, e, kind, rank, score), ordered by start and kind; code points, end exclusive."""
-    made = {k: (f"{out}__m_{k}", f"{out}__p_{k}") for k in KINDS}
+    """docs with a column `out`, an array of (s, e, kind, rank, score), ordered by start and kind; code points, end exclusive."""
+    made = {k: (spare(docs, f"{out}__m_{k}"), spare(docs, f"{out}__p_{k}")) for k in KINDS}
+    cut = spare(docs, f"{out}__cut")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Each step in a projection of its own, so that no regular expression runs twice.
     d = docs.withColumns({m: _matches(t, k) for k, (m, _) in made.items()})
-    d = d.withColumns({p: _placed(t, k, F.col(m)) for k, (m, p) in made.items()})
-    d = d.withColumn(out, F.concat(*(_scored(t, k, F.col(p)) for k, (_, p) in made.items())).cast(SPAN))
+    none = reduce(Column.__and__, (F.size(m) == 0 for m, _ in made.values()))
+    d = d.withColumns({p: _placed(t, k, F.col(m)) for k, (m, p) in made.items()} | {cut: F.when(~none, arrays.pieces(t))})
+    d = d.withColumn(out, F.concat(*(_scored(F.col(cut), k, F.col(p)) for k, (_, p) in made.items())).cast(SPAN))
     in_order = lambda a, b: F.when(a["s"] != b["s"], F.when(a["s"] < b["s"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"])
-    return d.withColumn(out, F.array_sort(out, in_order)).drop(*(c for pair in made.values() for c in pair))
+    return d.withColumn(out, F.array_sort(out, in_order)).drop(cut, *(c for pair in made.values() for c in pair))
 
 
 def _listed(spans: Column) -> Column:
@@ -126,14 +136,23 @@ def _listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each span of `text` replaced by its kind in brackets; of overlapping spans the first, and the longest of those, counts."""
-    d = with_spans(docs, out="pii__spans")
-    t = F.col("text").cast("string")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("o"))
-    first = F.array_sort("pii__spans", lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
-    step = lambda a, x: F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["o"].alias("o"))).otherwise(F.struct(x["e"].alias("at"), F.concat(a["o"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("o")))
-    clean = F.aggregate(first, zero, step, lambda a: F.concat(a["o"], F.substring(t, a["at"] + 1, F.length(t))))
-    return d.withColumn("text", F.when(F.size("pii__spans") > 0, clean).otherwise(F.col("text"))).drop("pii__spans")
+    """docs with each span of `text` replaced by its kind in brackets; spans that overlap become one, named after the first, and the longest of those."""
+    found = spare(docs, "pii__spans")
+    far, cut = spare(docs, "pii__far"), spare(docs, "pii__cut")
+    first = F.array_sort(found, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
+    d = with_spans(docs, out=found).withColumn(found, first)
+    d = d.withColumn(far, arrays.running(F.transform(found, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0)))
+    d = d.withColumn(cut, F.when(F.size(found) > 0, arrays.pieces(F.col("text").cast("string"))))
+    # A span that begins before the farthest end so far belongs to the group before it.
+    heads = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (x["s"] >= F.get(F.col(far), i - 1)), F.struct(x["s"].alias("s"), x["kind"].alias("kind"), i.alias("i")))), lambda x: x.isNotNull())
+
+    def joined(heads: Column) -> Column:
+        begin = lambda x: F.when(x["i"] == 0, 0).otherwise(F.get(F.col(far), x["i"] - 1))
+        body = F.transform(heads, lambda x: F.concat(arrays.part(F.col(cut), begin(x), x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(body, ""), arrays.part(F.col(cut), F.element_at(F.col(far), -1), F.length(F.col("text").cast("string"))))
+
+    clean = arrays.bound(heads, joined)
+    return d.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text"))).drop(found, far, cut)
 
 
 def _is(kind: str):
