@@ -100,8 +100,25 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n] if n <= len(_POWERS) else np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
 
 
+#: Bytes of text that are hashed at a time; they end at white space, so only a word longer than this takes more.
+HASHED = 2 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of some texts laid end to end, and the text that each word is in."""
+    parts, at = [], 0
+    while len(data) - at > HASHED:
+        end = at + HASHED
+        while end < len(data) and not len(space := np.flatnonzero(IS_SPACE[data[end : end + HASHED]])):
+            end += HASHED
+        end = min(len(data), end + (int(space[0]) if end < len(data) else 0))
+        parts.append(_word_hashes(data[at:end], np.clip(offsets, at, end) - at))
+        at = end
+    parts.append(_word_hashes(data[at:], np.clip(offsets, at, None) - at))
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     letter = ~IS_SPACE[data]

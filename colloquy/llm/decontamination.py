@@ -12,12 +12,14 @@
 
 The benchmark is the query set: it goes to the tasks in blocks of at most BLOCK_TERMS terms and BLOCK_QUERIES passages, each with passes of its own over the
 documents, so what is broadcast and what a task adds up (terms by terms) has a bound. Null or empty texts and items leak nothing. Repeated rows are judged alike, each on its own;
-of repeated item ids all texts count. Other columns are kept. Empty tables give an empty result.
+of repeated item ids all texts count. A text's passages are compared HALVES half-passages at a time, so a very long text takes about ten times its own size in memory. Other columns are kept, whatever
+their names; only one called like the column asked for gives way to it. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, text_groups, word_hashes
+from .common import bounded_batches, documents, spare, text_groups, word_hashes
 
 PASSAGE = 64
 HALF = PASSAGE // 2
+#: Half-passages whose products with all queries are in memory at a time, whatever the length of a text.
+HALVES = 256
 BLOCK_TERMS, BLOCK_QUERIES = 6000, 1000
 MOST_RANK, OVERSAMPLE = 256, 8
 MIN_COSINE = 0.35
@@ -241,68 +245,96 @@ def _block(docs: DataFrame, out: DataFrame, items: Items, column: str) -> DataFr
     latent = (v * idf[:, None]) @ q.T  # what one word of a term adds to the product with each query, in the latent space
     latent[np.abs(latent) < LEAST_SHARE * idf[:, None]] = 0
     term, query = np.nonzero(latent)
-    shared = docs.sparkSession.sparkContext.broadcast((items, idf, np.searchsorted(term, np.arange(len(idf) + 1)), query, latent[term, query]))
-    helper = f"{column}__text"
+    shared = docs.sparkSession.sparkContext.broadcast(Search(items, idf, np.searchsorted(term, np.arange(len(idf) + 1)), query, latent[term, query]))
+    helper = spare(out, f"{column}__text")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, begin, query, gain = shared.value
-        item_of, n_q = np.array([i for i, _ in items.queries]), len(items.queries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = shared.value
         for b in batches:
             found: list[dict[int, tuple[float, float]]] = [{} for _ in range(b.num_rows)]
             for first, last, h, own in _groups(b, helper):
-                half, text_of, begins = pieces(own, last - first, HALF)
-                t = terms_of(h, items.vocabulary)
-                on = t >= 0
-                on[on] = idf[t[on]] > 0
-                if not on.any():
-                    continue
-                t, hs = t[on], half[on]
-                n = begin[t + 1] - begin[t]
-                at = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                product = np.bincount(np.repeat(hs, n) * n_q + query[at], weights=gain[at], minlength=len(text_of) * n_q).reshape(-1, n_q)
-                norm2 = np.bincount(hs, weights=idf[t] ** 2, minlength=len(text_of))
-                # a passage is a half and the next one of its text
-                inner = text_of[1:] == text_of[:-1]
-                product[:-1] += np.where(inner[:, None], product[1:], 0)
-                norm2[:-1] += np.where(inner, norm2[1:], 0)
-                # Words counted one by one, a passage is at most as long as its vector: no cosine is above this.
-                bound = product / np.sqrt(np.maximum(norm2, 1e-9))[:, None]
-                inner, length = np.append(inner, False), {}
-                word_at = np.searchsorted(own, np.arange(last - first + 1))
-                for p, j in zip(*np.nonzero(bound >= MIN_COSINE), strict=True):
-                    if p not in length:
-                        mine = t[np.searchsorted(hs, p) : np.searchsorted(hs, p + 1 + int(inner[p]))]
-                        term, times = np.unique(mine, return_counts=True)
-                        length[p] = float(np.linalg.norm(times * idf[term]))
-                    cosine = float(product[p, j]) / length[p]
-                    if cosine < MIN_COSINE:
-                        continue
-                    row, item = int(text_of[p]), int(item_of[j])
-                    w = h[word_at[row] : word_at[row + 1]]
-                    at = (int(p) - int(begins[row])) * HALF
-                    m = len(items.words[item])
-                    near = w[max(0, at - m) : at + PASSAGE + m]
-                    share = float(np.isin(items.words[item], near).mean())  # no subsequence is longer
-                    if share < WEAK:
-                        continue
-                    lcs = common_length(items.words[item], near) / m
-                    known = items.answers[item]
-                    if lcs >= STRONG or (lcs >= WEAK and len(known) and common_length(known, near) >= ANSWER * len(known)):
-                        before = found[first + row].get(item, (0.0, 0.0))
-                        found[first + row][item] = max(before[0], cosine), max(before[1], lcs)
+                for row, item, cosine, lcs in search.leaks(h, own, last - first):
+                    before = found[first + row].get(item, (0.0, 0.0))
+                    found[first + row][item] = max(before[0], cosine), max(before[1], lcs)
             at = b.schema.get_field_index
             old = b.column(at(column)).to_pylist()
-            new = [[*o, *({"item_id": items.ids[i], "cosine": c, "lcs": x} for i, (c, x) in sorted(f.items()))] for o, f in zip(old, found, strict=True)]
+            new = [[*o, *({"item_id": search.items.ids[i], "cosine": c, "lcs": x} for i, (c, x) in sorted(f.items()))] for o, f in zip(old, found, strict=True)]
             keep = [x for x in b.schema.names if x not in (helper, column)]
             yield pa.RecordBatch.from_arrays([*(b.column(at(x)) for x in keep), pa.array(new, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())])))], names=[*keep, column])
 
     schema = T.StructType([*(f for f in out.schema.fields if f.name != column), T.StructField(column, FOUND)])
-    return out.withColumn(helper, F.col("text").cast("string").cast("binary")).mapInArrow(search, schema)
+    return out.withColumn(helper, F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+
+
+@dataclass
+class Search:
+    """What a task needs to find leaks: the items, and by term the queries it adds to and how much (begin, query, gain)."""
+
+    items: Items
+    idf: np.ndarray
+    begin: np.ndarray
+    query: np.ndarray
+    gain: np.ndarray
+
+    def leaks(self, h: np.ndarray, own: np.ndarray, rows: int) -> Iterator[tuple[int, int, float, float]]:
+        """(row, item, cosine, share of the item's words) of leaks in some texts' words; the products of HALVES half-passages are in memory at a time."""
+        items, idf, n_q = self.items, self.idf, len(self.items.queries)
+        item_of = np.array([i for i, _ in items.queries])
+        half, text_of, begins = pieces(own, rows, HALF)
+        t = terms_of(h, items.vocabulary)
+        on = t >= 0
+        on[on] = idf[t[on]] > 0
+        if not on.any():
+            return
+        t, hs = t[on], half[on]
+        norm2 = np.bincount(hs, weights=idf[t] ** 2, minlength=len(text_of))
+        inner = np.append(text_of[1:] == text_of[:-1], False)  # a passage is a half and the next one of its text
+        norm2[:-1] += np.where(inner[:-1], norm2[1:], 0)
+        word_at = np.searchsorted(own, np.arange(rows + 1))
+        for low in range(0, len(text_of), HALVES):
+            high = min(low + HALVES, len(text_of))
+            a, b = np.searchsorted(hs, (low, high + 1))
+            if a == b:
+                continue
+            product = self._products(t[a:b], hs[a:b] - low, high + 1 - low)
+            product[:-1] += np.where(inner[low:high, None], product[1:], 0)
+            # Words counted one by one, a passage is at most as long as its vector: no cosine is above this.
+            bound = product[:-1] / np.sqrt(np.maximum(norm2[low:high], 1e-9))[:, None]
+            length: dict[int, float] = {}
+            for k, j in zip(*np.nonzero(bound >= MIN_COSINE), strict=True):
+                p = low + int(k)
+                if p not in length:
+                    mine = t[np.searchsorted(hs, p) : np.searchsorted(hs, p + 1 + int(inner[p]))]
+                    term, times = np.unique(mine, return_counts=True)
+                    length[p] = float(np.linalg.norm(times * idf[term]))
+                cosine = float(product[k, j]) / length[p]
+                if cosine < MIN_COSINE:
+                    continue
+                row, item = int(text_of[p]), int(item_of[j])
+                w = h[word_at[row] : word_at[row + 1]]
+                at = (p - int(begins[row])) * HALF
+                m = len(items.words[item])
+                near = w[max(0, at - m) : at + PASSAGE + m]
+                share = float(np.isin(items.words[item], near).mean())  # no subsequence is longer
+                if share < WEAK:
+                    continue
+                lcs = common_length(items.words[item], near) / m
+                known = items.answers[item]
+                if lcs >= STRONG or (lcs >= WEAK and len(known) and common_length(known, near) >= ANSWER * len(known)):
+                    yield row, item, cosine, lcs
+
+    def _products(self, t: np.ndarray, half: np.ndarray, halves: int) -> np.ndarray:
+        """half-passages x queries: the words' gains added up."""
+        n_q = len(self.items.queries)
+        n = self.begin[t + 1] - self.begin[t]
+        at = np.repeat(self.begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(half, n) * n_q + self.query[at], weights=self.gain[at], minlength=halves * n_q).reshape(-1, n_q)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with their own columns."""
-    return with_leaks(docs, benchmark, "decontamination__leaks").where(F.size("decontamination__leaks") == 0).drop("decontamination__leaks")
+    leaks = spare(docs, "decontamination__leaks")
+    return with_leaks(docs, benchmark, leaks).where(F.size(leaks) == 0).drop(leaks)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
