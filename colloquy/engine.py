@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import clean, fold, ledger, quality, search, tasks
-from .sources import exports
+from .operators.index import SearchIndex, meeting_chunks
+from .sources import exports, notes
 
 
 #: What a chunk may be.
@@ -70,6 +71,22 @@ class Engine:
             raise ValueError(f"unknown kinds: {unknown}")
         return search.search(self.chunks(items), self.meetings(), query, limit=limit, participants=participants, owner=owner, kinds=kinds, status=status, date_from=date_from, date_to=date_to)
 
+    def index(self, note_path: str, items: DataFrame, transcripts: DataFrame, rebuild: bool = False) -> dict[str, int]:
+        """Brings the kept index up to the notes under a path, evidence items and transcripts (session, text): sessions indexed, unchanged and removed.
+
+        Sessions whose content is as it was stay as they are; those without a note go. rebuild writes a new index and swaps it in.
+        """
+        meetings = notes.meetings(notes.scan(self.spark, note_path))
+        chunks = meeting_chunks(meetings, items, notes.transcript_rows(transcripts), SEARCHABLE_KINDS)
+        kept = SearchIndex(self.spark, self._table("index"))
+        return (kept.rebuild if rebuild else kept.update)(chunks, meetings)
+
+    def find(self, query: str = "", kinds: Sequence[str] = (), **conditions) -> DataFrame:
+        """search() by the kept index, with snippets; only the shards of the query's terms are read."""
+        if unknown := sorted(set(kinds) - set(SEARCHABLE_KINDS)):
+            raise ValueError(f"unknown kinds: {unknown}")
+        return SearchIndex(self.spark, self._table("index")).search(query, kinds=kinds, **conditions)
+
     def quality(self) -> DataFrame:
         """Capture metrics of every session."""
         return quality.capture_metrics(self.entries())
