@@ -42,9 +42,6 @@ CUES = {
 WEEKDAYS = {"monday": r"понеділ\w*|monday", "tuesday": r"вівтор\w*|tuesday", "wednesday": r"серед\w*|wednesday", "thursday": r"четвер\w*|thursday", "friday": r"п\s+ятниц\w*|пятниц\w*|friday", "saturday": r"субот\w*|saturday", "sunday": r"неділ\w*|sunday"}
 
 
-#: Quotes of one or two words that are held beside all documents at once.
-SHORT_BLOCK = 2000
-
 
 def cue(text: Column, name: str, cues: dict[str, str] = CUES) -> Column:
     """Whether a cue stands in normalised text, at word boundaries."""
@@ -70,28 +67,45 @@ def anchors(proofs: DataFrame, lines: DataFrame) -> DataFrame:
     return g.select("session", "item_id", "proof_ord", "quote", F.when(F.col("n_at") > 0, F.col("asked")).otherwise("").alias("timestamp"), sure["line"].alias("line"), sure["ts"].alias("source_timestamp"), F.coalesce(who, sure["speaker"]).alias("speaker"), F.coalesce(sure["text"], F.col("quote")).alias("source_text"))
 
 
+def _lengths(c: Column, of: DataFrame) -> Column:
+    """The lengths that a column has, as an array: at most as many as its longest value has characters."""
+    found = sorted(r[0] for r in of.select(F.length(c)).distinct().collect())
+    return F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+
+
+def _ends_of(vocabulary: DataFrame, lengths: Column, end: Column) -> DataFrame:
+    """w, df and piece: of each word the pieces of the given lengths that `end` cuts from it; n is the length there."""
+    fits = F.filter(lengths, lambda n: n <= F.length("w"))
+    return vocabulary.select("w", "df", F.explode(fits).alias("n")).select("w", "df", end.alias("piece"))
+
+
 def quoted_in(quotes: DataFrame, docs: DataFrame, normal: bool = False) -> DataFrame:
     """(quote, doc_id) for every distinct quote that stands verbatim in a document; normal: quotes are normalised already.
 
-    Words inside a quote are whole words of each text that has it, so the rarest of them finds the candidates by an equi-join.
-    Quotes without a word between two others have no such key: they go to the documents in blocks of at most SHORT_BLOCK.
-    Empty quotes stand nowhere. Null texts hold nothing.
+    Every quote gets words whose texts are its candidates, by equi-joins with the distinct words of all documents. Words inside a quote are whole words of each text that
+    has it, and the rarest of them does. A quote of two words is the end of one word and the beginning of the next: of the words that
+    end so, or begin so, the rarer ones do. A quote of one word stands in a word: all words that hold it do. Empty quotes stand nowhere. Null texts hold nothing.
     """
     q = quotes.select("quote", (F.col("quote") if normal else evidence_norm(F.col("quote"))).alias("q")).where("q != ''").distinct()
     d = docs.select("doc_id", evidence_norm(F.col("text")).alias("n"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    parts = q.withColumn("words", F.split("q", " "))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("w")).where("w != ''")
+    vocabulary = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    parts = q.select("q", F.split("q", " ").alias("words")).distinct()
     inner = parts.where(F.size("words") > 2).select("q", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("w"))
-    seen = words.join(inner.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # A quote with an inner word that no document has is nowhere; the inner join may keep it, the last test drops it.
-    keys = inner.join(seen, "w").groupBy("q").agg(F.min(F.struct("df", "w"))["w"].alias("w"))
-    near = words.join(keys, "w").select("doc_id", "q")
+    keys = inner.join(vocabulary, "w").groupBy("q").agg(F.min(F.struct("df", "w"))["w"].alias("w")).select("q", "w")
+    single = parts.where(F.size("words") == 1).select("q")
+    inside = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda at: F.substr(F.col("w"), at, F.col("n")))))
+    keys = keys.unionByName(_ends_of(vocabulary, _lengths(F.col("q"), single), inside).join(single.withColumnRenamed("q", "piece"), "piece").select(F.col("piece").alias("q"), "w"))
+    pair = parts.where(F.size("words") == 2).select("q", F.col("words")[0].alias("end"), F.col("words")[1].alias("begin"))
+    sides = [
+        _ends_of(vocabulary, _lengths(F.col(c), pair), cut).join(pair.select("q", F.col(c).alias("piece")), "piece").select("q", F.lit(c).alias("side"), "w", "df")
+        for c, cut in (("end", F.right(F.col("w"), F.col("n"))), ("begin", F.left(F.col("w"), F.col("n"))))
+    ]
+    both = sides[0].unionByName(sides[1])
+    rarer = both.groupBy("q", "side").agg(F.sum("df").alias("df")).groupBy("q").agg(F.min(F.struct("df", "side"))["side"].alias("side"))
+    keys = keys.unionByName(both.join(rarer, ["q", "side"], "left_semi").select("q", "w"))
+    near = words.join(keys, "w").select("doc_id", "q").distinct()
     found = near.join(d, "doc_id").where(F.contains("n", F.col("q"))).select("q", "doc_id")
-    short = parts.where(F.size("words") < 3).select("q").distinct()
-    blocks = -(-short.count() // SHORT_BLOCK)
-    for k in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
-        found = found.unionByName(d.join(F.broadcast(block), F.contains("n", F.col("q"))).select("q", "doc_id"))
     return q.join(found, "q").select("quote", "doc_id")
 
 
@@ -205,7 +219,7 @@ def duplicate_pairs(items: DataFrame, least: float = 0.84, by: Sequence[str] = (
 
     a and b are representatives: n claims of the same words are one here, see claim_classes() for the members. item_id is unique within by.
     Prefix filtering: in one global order of tokens, rarest first, two such sets share a token among their first
-    size - ceil(least * size) + 1 ones. So only those are joined on, and lengths must fit.
+    size - ceil(least * size) + 1 ones. So only those are joined on; lengths must fit, and places leave room for enough shared tokens.
     """
     every = claim_tokens(items, by)
     first = every.groupBy(*by, "set").agg(F.min("item_id").alias("item_id"))
@@ -213,9 +227,11 @@ def duplicate_pairs(items: DataFrame, least: float = 0.84, by: Sequence[str] = (
     flat = t.select(*by, "item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rank = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy(*by, "item_id").orderBy("df", "token"))
-    pre = flat.join(rank, "token").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*by, "item_id", "n", "token")
+    pre = flat.join(rank, "token").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*by, "item_id", "n", "nth", "token")
     a, b = pre.alias("a"), pre.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "token")] + [F.col("a.item_id") < F.col("b.item_id"), F.col("a.n") >= F.col("b.n") * least, F.col("b.n") >= F.col("a.n") * least]
+    # From their first shared token on, two such sets have enough tokens left to be that similar.
+    on.append(1 + F.least(F.col("a.n") - F.col("a.nth"), F.col("b.n") - F.col("b.nth")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
     cand = a.join(b, on).select(*(F.col(f"a.{c}") for c in by), F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
     j = cand.alias("c")
     for side in ("a", "b"):
