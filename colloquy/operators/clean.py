@@ -103,3 +103,21 @@ def split_at_last(rows: DataFrame, mark: Column) -> DataFrame:
 
 def burst_words() -> Column:
     return F.size(word_tokens(F.col("text")))
+
+
+#: What a report in the right language has at least.
+CYRILLIC_LETTERS, CYRILLIC_SHARE = 300, 0.45
+
+
+def in_ukrainian(report: Column) -> Column:
+    """Whether a report's own words, its quoted lines aside, have enough Cyrillic letters and a large enough share of them."""
+    own = F.array_join(F.filter(F.split(F.coalesce(report, F.lit("")), "\n"), lambda x: ~F.ltrim(x).startswith(">")), "\n")
+    cyrillic, latin = F.regexp_count(own, F.lit("[А-Яа-яІіЇїЄєҐґ]")), F.regexp_count(own, F.lit("[A-Za-z]"))
+    return (cyrillic >= CYRILLIC_LETTERS) & (cyrillic / (cyrillic + latin) >= CYRILLIC_SHARE)
+
+
+def compact_chats(entries: DataFrame) -> DataFrame:
+    """Entries of two characters and more, of chat messages with one speaker and text (its case aside) the first only."""
+    key = F.when(F.col("kind") == "chat", F.lower("text")).otherwise(F.col("ord").cast("string"))
+    nth = F.row_number().over(Window.partitionBy("session", "kind", F.when(F.col("kind") == "chat", F.col("speaker")), key).orderBy("ord"))
+    return entries.where(F.length("text") >= 2).withColumn("compact__nth", nth).where("compact__nth = 1").drop("compact__nth")

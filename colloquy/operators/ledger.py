@@ -23,6 +23,8 @@ STATUS_RANK = {"active": 4, "open": 3, "completed": 2, "superseded": 1}
 THEME_TYPE_SCORE = {"fact": 5, "participant_claim": 4, "recommendation": 3, "proposal": 2, "hypothesis": 1}
 THEME_CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 LAST = 10**9
+#: Characters of a transcript in which its date stands.
+HEAD_CHARS = 3000
 
 #: Cue words of the lifecycle rules (Ukrainian), over normalised text.
 CUES = {
@@ -138,6 +140,26 @@ def ground_claims(df: DataFrame, claim: str, support: Column, out: str) -> DataF
     return d.withColumn(out, F.when(sound, c).when(F.col(left) == 0, F.col(tidy)).otherwise("")).drop(*(f"{out}__{s}" for s in steps))
 
 
+def consistent_weekdays(claim: Column, transcript: Column) -> Column:
+    """The claim, unless it names weekdays that the two days of the month it names aren't: without the asides that name them, or empty if others are left.
+
+    Year and month are those of the first date in the transcript's first HEAD_CHARS characters; a day that the month hasn't leaves nothing.
+    """
+    month = F.regexp_extract(F.substring(transcript, 1, HEAD_CHARS), r"(?U)\b(20\d{2}-\d{2})-\d{2}\b", 1)
+    norm = evidence_norm(claim)
+    pair = r"(?U)\b([0-3]?\d)\s*(?:та|і|й|,|[-–])\s*([0-3]?\d)\s*числ\w*"
+    days = F.array(*(F.regexp_extract(norm, pair, k) for k in (1, 2)))
+    dates = F.transform(days, lambda d: F.to_date(F.try_to_timestamp(F.concat(month, F.lit("-"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))))
+    names = list(WEEKDAYS)
+    said = lambda c: F.array_compact(F.array(*(F.when(evidence_norm(c).rlike(rf"(?U)\b(?:{p})\b"), F.lit(d)) for d, p in WEEKDAYS.items())))
+    real = F.array_distinct(F.transform(dates, lambda d: F.element_at(F.array(*map(F.lit, names)), F.weekday(d) + 1)))
+    asides = F.array_distinct(F.filter(F.regexp_extract_all(claim, F.lit(r"(\s*\([^()]*(?:\)|$))"), F.lit(1)), lambda a: F.size(said(a)) > 0))
+    rest = F.trim(F.regexp_replace(F.aggregate(asides, claim, lambda c, a: F.replace(c, a, F.lit(""))), r"(?U)\s+", " "))
+    left = F.when(F.size(said(rest)) > 0, "").otherwise(rest)
+    concerned = (month != "") & (days[0] != "") & (F.size(said(claim)) > 0)
+    return F.when(~concerned, claim).when(F.exists(dates, lambda d: d.isNull()), "").when(F.array_sort(said(claim)) == F.array_sort(real), claim).otherwise(left)
+
+
 def coerced_status(kind: Column, status: Column) -> Column:
     """Unknown statuses become their type's; completed actions are completed, decisions active unless superseded, open types never active."""
     known = F.when(status.isin(*STATUSES), status).when(kind == "completed_action", "completed").when(kind.isin(*OPEN_TYPES), "open").otherwise("active")

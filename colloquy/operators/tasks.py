@@ -93,3 +93,9 @@ def from_ledger(items: DataFrame) -> DataFrame:
 def pending(tasks: DataFrame, synced: DataFrame, names: Sequence[str]) -> DataFrame:
     """Tasks of the given owners that no fingerprint of `synced` covers yet, once each."""
     return tasks.where(owned_by(F.col("involved"), names)).join(synced, "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
+
+
+def to_trash(tasks: DataFrame, note: str, owner_names: Sequence[str]) -> DataFrame:
+    """Posted tasks of one note that are not yet in the trash and not the owner's own."""
+    posted = (F.col("note") == note) & (F.coalesce("page_id", F.lit("")) != "") & F.col("trashed_at").isNull()
+    return tasks.where(posted & ~F.coalesce(owned_by(F.col("involved"), owner_names), F.lit(False)))

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import align, clean, fold, ledger, quality, reports, search, sources, state, stream, tasks  # noqa: E402,F401  each registers its queries
+from . import align, clean, fold, ledger, quality, reports, search, sources, state, stream, summaries, tasks  # noqa: E402,F401  each registers its queries
