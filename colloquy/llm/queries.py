@@ -15,7 +15,7 @@ from .periodic_runs import op11_periodic_runs
 from .pii import op6_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op8_quality_rules
-from .repeats import op2_substring_dedup
+from .repeats import OP2_SQL, op2_substring_dedup
 from .simhash import op3_simhash
 from .suffix_index import op5_suffix_dedup
 from .token_counts import op4_token_counts
@@ -28,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_lexical_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op13_lexical_search": OP13_SQL}

@@ -243,3 +243,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False)
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
+
+
+OP2_SQL = rf"""with docs as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), cast([] as varchar[])) as ws from documents),
+spots as materialized (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from docs where len(ws) >= {WINDOW}),
+windows as (select doc_id, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') as k from spots), firsts as (select k, min(doc_id) as least from windows group by 1),
+lost as (select distinct doc_id, unnest(range(i, i + {WINDOW})) as j from windows join firsts using (k) where doc_id > least),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from docs),
+kept as (select w.doc_id, string_agg(word, ' ' order by w.j) filter (l.j is null) as t, count(l.j) as n_removed from words w left join lost l on l.doc_id = w.doc_id and l.j = w.j group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs d left join kept k on k.doc_id = d.doc_id"""
