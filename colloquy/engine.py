@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, fold, ledger, quality, search, tasks
+from .functions.text import evidence_norm
+from .operators import clean, fold, ledger, quality, search, summaries, tasks
 from .operators.index import SearchIndex, meeting_chunks
 from .sources import exports, notes
 
@@ -97,6 +98,26 @@ class Engine:
         d = ledger.validated(items, proofs, lines)
         return ledger.lifecycle(d.withColumn("quotes", F.transform("evidence", lambda e: e["quote"])))
 
+    def summary(self, items: DataFrame, proofs: DataFrame) -> dict[str, DataFrame]:
+        """From evidence items to a summary: the ledger, what is wrong with it (findings), and its sections.
+
+        Validated items are merged where they say the same, go through their lifecycle, are put into the transcript's language and merged again; what is left is
+        judged and rendered. A session with an error among its findings has no sections. Deduplication and the choice of themes fold one session in one task.
+        """
+        columns = ["session", "item_id", "type", "claim", "status", "confidence", "owners", "deadline", "deadline_ambiguous", "source_order", "speaker", "quotes", "said"]
+        lines = self.entries().select("session", (F.col("ord") + 1).cast("long").alias("line"), F.col("start_ms").cast("string").alias("timestamp"), "speaker", "text")
+        d = ledger.validated(items, proofs, lines).withColumn("said", F.transform("evidence", lambda e: e["quote"]))
+        d = d.withColumn("quotes", F.array_distinct(F.filter(F.transform("said", lambda q: evidence_norm(q)), lambda q: q != "")))
+        d = ledger.lifecycle(fold.greedy_dedup(d.select(*columns)).drop("merged"))
+        d = d.withColumn("claim", ledger.grounded_language(F.col("claim"), F.col("said")))
+        d = fold.greedy_dedup(d).drop("merged").withColumn("is_accepted", ledger.accepted(F.col("quotes"))).withColumn("n_evidence", F.size("quotes"))
+        again = ledger.duplicate_pairs(d).select("session", F.col("a").alias("item_id"), F.lit("duplicate_claim").alias("code"), F.lit("error").alias("severity"))
+        findings = quality.issues(d, ledger.qa_findings(), ["session", "item_id"]).unionByName(again.distinct())
+        themes = fold.diverse_selection(d).withColumn("theme", F.lit(True))
+        sound = d.join(themes, ["session", "item_id"], "left").withColumn("thematic", F.coalesce("theme", F.lit(False)))
+        sound = sound.join(findings.where("severity = 'error'").select("session").distinct(), "session", "left_anti")
+        return {"ledger": d.drop("is_accepted", "n_evidence"), "findings": findings, "sections": summaries.grounded_sections(sound)}
+
     def tasks(self, items: DataFrame, owner_names: Sequence[str]) -> DataFrame:
         """Open commitments of the given people."""
         found = tasks.from_ledger(items.withColumn("note", F.col("session")))

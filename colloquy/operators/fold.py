@@ -302,7 +302,8 @@ def diverse_selection(items: DataFrame, limit: int = 7) -> DataFrame:
         yield pd.DataFrame({"session": [x["session"] for x in out], "item_id": [x["item_id"] for x in out]})
 
     live = items.where(F.col("type").isin(*THEME_TYPE_SCORE) & (F.trim("claim") != "")).withColumn("place", F.when(F.col("source_order") > 0, F.col("source_order")).otherwise(LAST))
-    return _fold(live, ["session"], "session long, item_id long", ["place", "item_id"], f)
+    kinds = dict(items.dtypes)
+    return _fold(live, ["session"], f"session {kinds['session']}, item_id {kinds['item_id']}", ["place", "item_id"], f)
 
 
 def pack_lines(lines: DataFrame, limit: int) -> DataFrame:

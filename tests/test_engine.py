@@ -167,3 +167,26 @@ def test_packets():
     assert packets.devices(packets.encode((2, packets.encode((2, packets.encode((2, record), (2, record))))))) == [("d1", "Ann")] * 2
     assert packets.devices(packets.encode((1, packets.encode((2, packets.encode((13, packets.encode((1, packets.encode((2, record)))))))))))[:1] == [("d1", "Ann")]
     assert "привіт" not in "".join(packets.shape(inner))
+
+
+def test_summary_in_one_call(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    said = [("Оля", "Так, я підготую звіт до 15 травня."), ("Ігор", "Вирішили: використовуємо чергу."), ("Оля", "Погоджуюся, використовуємо чергу"), ("Ігор", "У нас вже є три сервери для тестів"), ("Оля", "Чи потрібен нам ще один сервер?")]
+    (src / "meet-1.json").write_text(json.dumps(export([e(who, text, 60_000 * k) for k, (who, text) in enumerate(said)])))
+    engine = Engine(spark, str(tmp_path / "out"))
+    engine.ingest(str(src))
+    s = "2024-05-01_10-00-00_meet-abc-def"
+    items = [
+        ("commitment", "Підготувати звіт", ["Оля"], "до 15 травня", "open", "explicit", "high"), ("decision", "Використовуємо чергу", [], "", "active", "", "high"), ("decision", "Використовуємо чергу.", [], "", "active", "", "low"),
+        ("fact", "We have servers", [], "", "active", "", "high"), ("open_question", "Чи потрібен ще один сервер?", [], "", "open", "", "high"), ("fact", "Вигадка", [], "", "active", "", "high"),
+    ]
+    proofs = [(0, 0, "я підготую звіт", None), (1, 0, "Погоджуюся, використовуємо чергу", None), (2, 0, "використовуємо чергу", None), (3, 0, "вже є три сервери для тестів", None), (4, 0, "Чи потрібен нам ще один сервер", None), (5, 0, "цього не було", None)]
+    i = spark.createDataFrame([(s, k, *r) for k, r in enumerate(items)], "session string, item_id int, type string, claim string, owners array<string>, deadline string, status string, commitment_strength string, confidence string")
+    p = spark.createDataFrame([(s, *r) for r in proofs], "session string, item_id int, proof_ord int, quote string, timestamp string")
+    out = engine.summary(i, p)
+    assert sorted((r.type, r.claim) for r in out["ledger"].collect()) == [("commitment", "Підготувати звіт"), ("decision", "Використовуємо чергу"), ("fact", "Вже є три сервери для тестів"), ("open_question", "Чи потрібен ще один сервер?")]
+    assert [r.code for r in out["findings"].where("severity = 'error'").collect()] == []
+    r = out["sections"].first()
+    assert r.tldr == "На зустрічі обговорили: Вже є три сервери для тестів. Явні рішення: Використовуємо чергу. Наступні кроки: Підготувати звіт — дедлайн: до 15 травня."
+    assert (r.theses, r.decisions, r.actions, r.questions) == ("- Вже є три сервери для тестів", "- Використовуємо чергу", "- [Оля] Підготувати звіт — дедлайн: до 15 травня", "- Чи потрібен ще один сервер?")
