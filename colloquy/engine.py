@@ -29,6 +29,11 @@ class Engine:
     def _table(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table of the folder, replaced each time: what is read several times is worked out once."""
+        df.write.mode("overwrite").parquet(self._table(name))
+        return self.spark.read.schema(df.schema).parquet(self._table(name))
+
     def _has(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._table(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
@@ -108,11 +113,11 @@ class Engine:
         lines = self.entries().select("session", (F.col("ord") + 1).cast("long").alias("line"), F.col("start_ms").cast("string").alias("timestamp"), "speaker", "text")
         d = ledger.validated(items, proofs, lines).withColumn("said", F.transform("evidence", lambda e: e["quote"]))
         d = d.withColumn("quotes", F.array_distinct(F.filter(F.transform("said", lambda q: evidence_norm(q)), lambda q: q != "")))
-        d = ledger.lifecycle(fold.greedy_dedup(d.select(*columns)).drop("merged"))
+        d = ledger.lifecycle(self._stage("ledger-merged", fold.greedy_dedup(d.select(*columns)).drop("merged")))
         d = d.withColumn("claim", ledger.grounded_language(F.col("claim"), F.col("said")))
-        d = fold.greedy_dedup(d).drop("merged").withColumn("is_accepted", ledger.accepted(F.col("quotes"))).withColumn("n_evidence", F.size("quotes"))
+        d = self._stage("ledger", fold.greedy_dedup(d).drop("merged")).withColumn("is_accepted", ledger.accepted(F.col("quotes"))).withColumn("n_evidence", F.size("quotes"))
         again = ledger.duplicate_pairs(d).select("session", F.col("a").alias("item_id"), F.lit("duplicate_claim").alias("code"), F.lit("error").alias("severity"))
-        findings = quality.issues(d, ledger.qa_findings(), ["session", "item_id"]).unionByName(again.distinct())
+        findings = self._stage("findings", quality.issues(d, ledger.qa_findings(), ["session", "item_id"]).unionByName(again.distinct()))
         themes = fold.diverse_selection(d).withColumn("theme", F.lit(True))
         sound = d.join(themes, ["session", "item_id"], "left").withColumn("thematic", F.coalesce("theme", F.lit(False)))
         sound = sound.join(findings.where("severity = 'error'").select("session").distinct(), "session", "left_anti")
