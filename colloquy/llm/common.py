@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,9 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors.
+
+    Nothing reads the shuffles behind it any more. Spark's cleaner removes them once the driver has collected its garbage, which can take
+    many stages, so it is asked to: else the disks hold the shuffles of all stages at once.
+    """
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
