@@ -36,6 +36,19 @@ HASHES_AT_ONCE = 1 << 16
 BLOCK_ROWS = 20_000
 
 
+def over_half(hashes: np.ndarray) -> int:
+    """The fingerprint of some 64-bit hashes: the bits that over half of them have."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        bits += (_seen(hashes[at : at + HASHES_AT_ONCE]) @ _BITS).ravel()
+    return int.from_bytes(np.packbits(bits * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _seen(h: np.ndarray) -> np.ndarray:
+    """How often each of 8 bytes has each value."""
+    return np.bincount((h.view(np.uint8).reshape(-1, 8) + _AT).ravel(), minlength=2048).reshape(8, 256)
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     w = text.lower().split() if text else []  # bytes.lower() changes A-Z only
     if not w:
@@ -53,8 +66,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     bits = np.zeros(64, np.int64)
     for at in range(0, n, HASHES_AT_ONCE):
         h = np.fromiter(hashes, np.uint64, min(HASHES_AT_ONCE, n - at)) if at + HASHES_AT_ONCE >= n else np.fromiter((next(hashes) for _ in range(HASHES_AT_ONCE)), np.uint64, HASHES_AT_ONCE)
-        seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _AT).ravel(), minlength=2048).reshape(8, 256)
-        bits += (seen @ _BITS).ravel()
+        bits += (_seen(h) @ _BITS).ravel()
     return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
 
 

@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,6 +470,43 @@ def test_pipeline_stage_drops_copies_of_0_8(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+def test_near_copies_go_by_fingerprints_first(spark, monkeypatch):
+    """Fingerprints and pivots find what differs in few bits, whole sets decide, and the prefix pass compares only what is apart by then."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    near = [*base[:700], "x", *base[701:]]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(204)]
+    similar = [*other[:50], "x", *other[51:100], "y", *other[101:]]
+    asked = []
+    inner = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda docs, marks, pairs, shingle: (asked.append(pairs.count()), inner(docs, marks, pairs, shingle))[1])
+    got = by_id(near_copies.near_copies(table(spark, [" ".join(t) for t in (base, near, other, similar)])))
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 2]
+    assert asked == [1, 1]  # the first two by fingerprints, and not again; the others by prefixes
+    hashes = next(near_copies.shingle_sets(pa.RecordBatch.from_arrays([pa.array([" ".join(base).encode()])], names=["text"])))[1]
+    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    assert simhash.over_half(hashes) == sum(1 << k for k in range(64) if 2 * int(bits[:, k].sum()) > len(hashes))
+
+
+def test_near_copies_carry_packed_texts(spark, monkeypatch):
+    """What crosses for verification is smaller than the texts themselves, and much smaller than sets of 8 bytes a shingle."""
+    rng = random.Random(22)
+    base = prose(rng, 2000).split()
+    texts = [" ".join(base), " ".join([*base[:1000], "x", *base[1001:]])]
+    sizes = []
+    inner = near_copies.written
+
+    def written(df, what, *partition_by):
+        made = inner(df, what, *partition_by)
+        if what == "candidate-texts":
+            sizes.extend(r.n for r in made.selectExpr("length(packed) n").collect())
+        return made
+
+    monkeypatch.setattr(near_copies, "written", written)
+    near_copies.near_copies(table(spark, texts)).count()
+    assert len(sizes) >= 2 and max(sizes) < len(texts[0]) / 2
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.drop_near_copies(table(spark, ["a"]).limit(0)).count() == 0
 
