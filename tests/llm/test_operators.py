@@ -528,3 +528,20 @@ def test_telling_words_are_counted_over_all_labelled(spark, monkeypatch):
     d = table(spark, ["a b a", "b", "c b"]).selectExpr("cast(text as binary) plain", "1 n_quality", "500000 bad_quality", "cast(doc_id > 0 as int) n_toxic", "0 bad_toxic")
     got = sorted((r.n_quality, r.bad_quality, r.n_toxic) for r in quality_classifier.word_counts(d).collect())
     assert got == [(1, 500000, 0), (1, 500000, 1), (3, 1500000, 2)]
+
+
+def test_telling_words_cross_as_packed_distinct_words(spark, monkeypatch):
+    """Counting gets each distinct word of a text once, compressed, and counts as it does from the texts."""
+    texts = ["b a " * 500, None, "", "a " + " ".join(f"long{k}" for k in range(3000)), "c"]
+    d = table(spark, texts).selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) plain")
+    packed = quality_classifier.packed_words(d)
+    rows = {r.doc_id: r for r in packed.collect()}
+    assert rows[0].size == 3 and len(rows[0].packed) < 20 and rows[1].size == rows[2].size == 0
+    assert len(rows[3].packed) < rows[3].size / 2
+    weigh = [F.lit(1).alias("n_quality"), F.lit(2).alias("bad_quality"), F.col("doc_id").alias("n_toxic"), F.lit(0).alias("bad_toxic")]
+    want, got = (sorted(map(tuple, quality_classifier.word_counts(x.select(*x.columns, *weigh)).collect())) for x in (d, packed))
+    assert got == want and len(got) > 3000
+    monkeypatch.setattr(quality_classifier, "BATCH_BYTES", 2 * rows[3].size)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([rows[3].size] * 3), pa.array([rows[3].packed] * 3)], names=["doc_id", "size", "packed"])
+    parts = list(quality_classifier.unpacked(batch))
+    assert [p.num_rows for p in parts] == [2, 1] and parts[0].schema.names == ["doc_id", "plain"]
