@@ -545,3 +545,16 @@ def test_telling_words_cross_as_packed_distinct_words(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([rows[3].size] * 3), pa.array([rows[3].packed] * 3)], names=["doc_id", "size", "packed"])
     parts = list(quality_classifier.unpacked(batch))
     assert [p.num_rows for p in parts] == [2, 1] and parts[0].schema.names == ["doc_id", "plain"]
+
+
+def test_word_hashes_by_brute_force(monkeypatch):
+    """A word's hash is the sum of its bytes' numbers times powers, whatever stands before it and wherever parts end."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("ab \n\té$A") for _ in range(rng.randrange(80))).encode() for _ in range(60)] + [b"", b" ", b"x" * 900, b"y"]
+    want = [(sum(int(common._BYTE[c]) * pow(int(common._BASE), k, 1 << 64) for k, c in enumerate(w)) % (1 << 64), i) for i, t in enumerate(texts) for w in t.split()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for size in (64, 1 << 18):
+        monkeypatch.setattr(common, "HASHED", size)
+        h, own = common.word_hashes(data, offsets)
+        assert own.tolist() == [i for _, i in want]
+        assert h.tolist() == common.mix(np.array([x for x, _ in want], np.uint64)).tolist()
