@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, documents, spare, text_groups, word_hashes
+from .common import bounded_batches, documents, lean, spare, text_groups, word_hashes
 
 PASSAGE = 64
 HALF = PASSAGE // 2
@@ -145,7 +145,7 @@ def _sums(docs: DataFrame, emit) -> dict[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["term", "v"])
 
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-    total = texts.mapInArrow(run, "term int, v binary").repartition("term").mapInArrow(add, "term int, v binary")
+    total = texts.mapInArrow(lean(run), "term int, v binary").repartition("term").mapInArrow(lean(add), "term int, v binary")
     return {r["term"]: np.frombuffer(r["v"], np.float64) for r in total.toLocalIterator()}
 
 
@@ -263,7 +263,7 @@ def _block(docs: DataFrame, out: DataFrame, items: Items, column: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(at(x)) for x in keep), pa.array(new, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())])))], names=[*keep, column])
 
     schema = T.StructType([*(f for f in out.schema.fields if f.name != column), T.StructField(column, FOUND)])
-    return out.withColumn(helper, F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+    return out.withColumn(helper, F.col("text").cast("string").cast("binary")).mapInArrow(lean(run), schema)
 
 
 @dataclass

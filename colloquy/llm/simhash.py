@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, keyed_text, random_words, written
+from .common import bounded_batches, documents, keyed_text, lean, random_words, written
 from .components import components
 
 SHINGLE, SEED, MOST = 3, 42, 2
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return keyed_text(docs, F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
+    return keyed_text(docs, F.xxhash64("text").alias("th")).mapInArrow(lean(run), "doc_id long, th long, fp long")
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
                 held.append(fp[low:high].copy())
         yield from done()
 
-    return blocks.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part").mapInArrow(run, "a long, b long")
+    return blocks.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part").mapInArrow(lean(run), "a long, b long")
 
 
 def choice(marks: DataFrame, roots: DataFrame, node: str) -> DataFrame:

@@ -558,3 +558,22 @@ def test_word_hashes_by_brute_force(monkeypatch):
         h, own = common.word_hashes(data, offsets)
         assert own.tolist() == [i for _, i in want]
         assert h.tolist() == common.mix(np.array([x for x, _ in want], np.uint64)).tolist()
+
+
+def test_workers_give_back_what_they_freed():
+    """Blocks freed below one that is still held stay with the process, which later tasks of other stages share an executor with."""
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    pins = []
+
+    def run(batches):
+        held = [b"x" * 100_000 for _ in range(3000)]
+        pins.append(b"y" * 100_000)
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 100
