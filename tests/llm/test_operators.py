@@ -560,6 +560,48 @@ def test_word_hashes_by_brute_force(monkeypatch):
         assert h.tolist() == common.mix(np.array([x for x, _ in want], np.uint64)).tolist()
 
 
+def test_texts_are_read_once_before_scoring(spark):
+    """Words and rules are taken from a text in one pass; counting, sampling and sums read what that pass wrote."""
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = table(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    quality_classifier.fit(d.mapInArrow(counted, d.schema), labels)
+    assert read.value == len(texts)
+
+
+def test_sums_of_words_cross_by_block(spark, monkeypatch):
+    """What tasks have summed up meets in the same sums, wherever tasks and blocks end, in far fewer bytes than rows of words take."""
+    rng = np.random.default_rng(5)
+    w = np.unique(rng.integers(0, 1 << 31, 4000))
+    s = np.column_stack([np.ones(len(w), np.int64), rng.choice([0, 12345], len(w)), np.zeros(len(w), np.int64), np.full(len(w), -(1 << 40))])
+    z = quality_classifier.coded(w, s)
+    got = quality_classifier.decoded(z, 4)
+    assert got[0].tolist() == w.tolist() and got[1].tolist() == s.tolist() and len(z) < 6 * len(w)
+    texts = ["a b a", "b", "c b", *(" ".join(f"w{(k * 37) % 90}" for k in range(i, i + 20)) for i in range(60))]
+    d = table(spark, texts).selectExpr("cast(text as binary) plain", "1 n_quality", "doc_id bad_quality", "cast(doc_id > 0 as int) n_toxic", "0 bad_toxic")
+    want = sorted(map(tuple, quality_classifier.word_counts(d.coalesce(1)).collect()))
+    monkeypatch.setattr(quality_classifier, "HELD", 8)
+    monkeypatch.setattr(quality_classifier, "BLOCK_BITS", 27)
+    assert sorted(map(tuple, quality_classifier.word_counts(d.repartition(3)).collect())) == want and len({r[0] for r in want}) == len(want)
+    assert quality_classifier.word_counts(d.limit(0)).count() == 0
+
+
+def test_rules_of_batches_are_those_of_texts():
+    rng = random.Random(9)
+    texts = [None, "", " \n ", "a", "a b", "A b\nA b\n\n#", "a b c a b c", "é#É $$ ü ü ü ü", *("".join(rng.choice("ab \n#Aé") for _ in range(rng.randrange(200))) for _ in range(200))]
+    rows = [None if t is None else t.encode() for t in texts]
+    got = quality_rules.batch_counts(pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["text"]))
+    assert list(map(tuple, got.tolist())) == [quality_rules.counts(t) for t in rows]
+
+
 def test_workers_give_back_what_they_freed():
     """Blocks freed below one that is still held stay with the process, which later tasks of other stages share an executor with."""
     def resident():
