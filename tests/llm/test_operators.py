@@ -619,3 +619,17 @@ def test_workers_give_back_what_they_freed():
     before = resident()
     assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
     assert resident() - before < 100
+
+
+def test_weights_are_learnt_from_all_documents(spark, monkeypatch):
+    """However few documents the sample has, the others teach the weights, in the same parts wherever Spark deals the rows."""
+    monkeypatch.setattr(quality_classifier, "FIT_ROWS", 12)
+    monkeypatch.setattr(quality_classifier, "PART_ROWS", 150)
+    rng = random.Random(16)
+    texts = [prose(rng, 60) + (" zwackelig" if i % 5 == 0 else "") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    models = [quality_classifier.fit(table(spark, texts).repartition(n), labels)["toxic"] for n in (1, 7)]
+    assert all(np.array_equal(models[0].state(), m.state()) for m in models)
+    got = by_id(quality_classifier.classify(table(spark, texts), labels))
+    toxic, clean = ([got[i].quality__toxic for i in range(600) if (i % 5 == 0) == yes] for yes in (True, False))
+    assert min(toxic) > 2 * max(clean) and np.mean(np.array(toxic) > 0.5) > 0.9
