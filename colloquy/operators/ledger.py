@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import clean_text, evidence_norm, jaccard
 
 #: Item types, statuses and their order.
@@ -146,18 +147,46 @@ def consistent_weekdays(claim: Column, transcript: Column) -> Column:
     Year and month are those of the first date in the transcript's first HEAD_CHARS characters; a day that the month hasn't leaves nothing.
     """
     month = F.regexp_extract(F.substring(transcript, 1, HEAD_CHARS), r"(?U)\b(20\d{2}-\d{2})-\d{2}\b", 1)
-    norm = evidence_norm(claim)
     pair = r"(?U)\b([0-3]?\d)\s*(?:та|і|й|,|[-–])\s*([0-3]?\d)\s*числ\w*"
-    days = F.array(*(F.regexp_extract(norm, pair, k) for k in (1, 2)))
-    dates = F.transform(days, lambda d: F.to_date(F.try_to_timestamp(F.concat(month, F.lit("-"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))))
-    names = list(WEEKDAYS)
-    said = lambda c: F.array_compact(F.array(*(F.when(evidence_norm(c).rlike(rf"(?U)\b(?:{p})\b"), F.lit(d)) for d, p in WEEKDAYS.items())))
-    real = F.array_distinct(F.transform(dates, lambda d: F.element_at(F.array(*map(F.lit, names)), F.weekday(d) + 1)))
-    asides = F.array_distinct(F.filter(F.regexp_extract_all(claim, F.lit(r"(\s*\([^()]*(?:\)|$))"), F.lit(1)), lambda a: F.size(said(a)) > 0))
-    rest = F.trim(F.regexp_replace(F.aggregate(asides, claim, lambda c, a: F.replace(c, a, F.lit(""))), r"(?U)\s+", " "))
-    left = F.when(F.size(said(rest)) > 0, "").otherwise(rest)
-    concerned = (month != "") & (days[0] != "") & (F.size(said(claim)) > 0)
-    return F.when(~concerned, claim).when(F.exists(dates, lambda d: d.isNull()), "").when(F.array_sort(said(claim)) == F.array_sort(real), claim).otherwise(left)
+
+    def real(first: Column, norm: Column) -> Column:
+        """The weekdays (from 0) of the two days, null for one that the month hasn't; first is the month's first day."""
+        days = F.transform(F.array(*(F.regexp_extract(norm, pair, k) for k in (1, 2))), lambda d: d.try_cast("int"))
+        return F.transform(days, lambda d: F.when(d.between(1, F.dayofmonth(F.last_day(first))), (F.weekday(first) + d - 1) % 7))
+
+    def judged(text: Column, said: Column, days: Column) -> Column:
+        same = said == F.array_sort(F.array_distinct(days))
+        return F.when(F.exists(days, lambda d: d.isNull()), "").when(same, text).otherwise(bound(_without_days(text), lambda rest: F.when(_names_day(rest), "").otherwise(rest)))
+
+    def known(text: Column, norm: Column, at: Column) -> Column:
+        first = F.concat(at, F.lit("-01")).try_cast("date")
+        told = bound(_days_said(norm), lambda said: F.when(F.size(said) == 0, text).otherwise(bound(real(first, norm), lambda days: judged(text, said, days))))
+        return F.when(~((at != "") & norm.rlike(pair)), text).otherwise(told)
+
+    # Each step is worked out once and handed on; most claims stop at the first ones.
+    return bound(claim, lambda text: bound(evidence_norm(text), lambda norm: bound(month, lambda at: known(text, norm, at))))
+
+
+#: All weekdays as one search: no word begins two of them, so what it finds is what seven searches find.
+_ANY_DAY = rf"(?U)\b(?:{'|'.join(WEEKDAYS.values())})\b"
+#: The first two characters of a weekday's word, and its number from 0.
+_DAY_OF = {"по": 0, "mo": 0, "ві": 1, "tu": 1, "се": 2, "we": 2, "че": 3, "th": 3, "п ": 4, "пя": 4, "fr": 4, "су": 5, "sa": 5, "не": 6, "su": 6}
+
+
+def _days_said(norm: Column) -> Column:
+    """The weekdays (from 0) that normalised text names, sorted."""
+    number = F.create_map(*(F.lit(x) for kv in _DAY_OF.items() for x in kv))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(f"({_ANY_DAY})"), F.lit(1)), lambda w: F.element_at(number, F.left(w, F.lit(2))))))
+
+
+def _names_day(text: Column) -> Column:
+    return evidence_norm(text).rlike(_ANY_DAY)
+
+
+def _without_days(text: Column) -> Column:
+    """Text without the asides that name a weekday, in single spaces."""
+    asides = F.filter(F.regexp_extract_all(text, F.lit(r"(\s*\([^()]*(?:\)|$))"), F.lit(1)), _names_day)
+    return F.trim(F.regexp_replace(F.aggregate(asides, text, lambda c, a: F.replace(c, a, F.lit(""))), r"(?U)\s+", " "))
 
 
 def coerced_status(kind: Column, status: Column) -> Column:

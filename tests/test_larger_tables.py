@@ -26,3 +26,15 @@ def test_numbers_of_no_customer(spark, tmp_path, customer):
     orders = spark.createDataFrame([(k, customer) for k in range(1, 7)], "o_orderkey long, o_custkey long")
     got, want = rows_and_sql(spark, tmp_path, "claim_token_grounding", orders=orders)
     assert got == want
+
+
+def test_weekdays_are_worked_out_once(spark):
+    """The rule's plan names the claim's normal form once, however many of its steps use it; it was in there over a hundred times."""
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import ledger
+
+    d = spark.createDataFrame([("Зустріч 5 та 7 числа (понеділок)", "2024-02-05"), ("29 та 30 числа, monday", "2023-02-01"), ("5 та 6 числа monday", "2024-13-01"), ("0 та 6 числа (monday)", "2024-02-05")], "c string, t string")
+    d = d.select(ledger.consistent_weekdays(F.col("c"), F.col("t")).alias("c"))
+    assert [r.c for r in d.collect()] == ["Зустріч 5 та 7 числа", "", "", ""]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(") < 10
