@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import math
 import re
 from collections.abc import Sequence
 
+import numpy as np
+
 #: Fixed limits.
 MOST_TOKENS, EXPANSION, CORRECTION, CORRECTION_WORDS = 120, 0.9, 0.8, 5
 _TOKEN = re.compile(r"[^\W_]+")
@@ -98,6 +101,80 @@ def stitch(old: str, new: str) -> str:
     return f"{old} {new}".strip()
 
 
+def _matching(a: str, b: str, need: int) -> int:
+    """Characters in matching blocks as difflib.SequenceMatcher finds them (no text of b is long enough for its junk), or -1 if they are under need.
+
+    The longest block, of several the first in a and then in b, and so on at either side of it. A string that holds a longer one holds all its beginnings, so one
+    pass over a finds the longest.
+    """
+    found, open_ = 0, [(a, b)]
+    room = min(len(a), len(b))
+    while open_:
+        a, b = open_.pop()
+        at = size = 0
+        for i in range(len(a)):
+            while i + size < len(a) and a[i : i + size + 1] in b:
+                at, size = i, size + 1
+        room -= min(len(a), len(b))
+        if size:
+            j = b.find(a[at : at + size])
+            sides = [(a[:at], b[:j]), (a[at + size :], b[j + size :])]
+            found += size
+            room += sum(min(len(x), len(y)) for x, y in sides)
+            open_ += [x for x in sides if x[0] and x[1]]
+        if found + room < need:
+            return -1
+    return found
+
+
+#: From this length of the second text on, difflib leaves out frequent characters.
+JUNK = 200
+CLAIMS, PAIRS, KINDS = 1 << 15, 1 << 17, 64
+
+
+class Claim:
+    """A claim's normal form, its words, and how many characters of each of KINDS kinds it has."""
+
+    __slots__ = ("text", "words", "kinds")
+
+    def __init__(self, claim: str):
+        self.text = norm(claim)
+        self.words = frozenset(self.text.split())
+        self.kinds = np.bincount(np.frombuffer(self.text.encode("utf-32-le"), np.uint32) % KINDS, minlength=KINDS).astype(np.int32)
+
+
+#: A worker meets the same claims again; what it remembers is bounded.
+claim_of = functools.lru_cache(CLAIMS)(Claim)
+
+
+@functools.lru_cache(PAIRS)
+def at_least(a: str, b: str, least: float) -> bool:
+    """Whether claim_similarity(a, b) >= least, which must be over 0; cheap bounds decide first."""
+    x, y = claim_of(a), claim_of(b)
+    if not x.text or not y.text:
+        return False
+    if x.text == y.text or len(x.words & y.words) / len(x.words | y.words) >= least:
+        return True
+    both = len(x.text) + len(y.text)
+    if 2.0 * min(len(x.text), len(y.text)) / both < least or 2.0 * int(np.minimum(x.kinds, y.kinds).sum()) / both < least:
+        return False
+    if len(y.text) >= JUNK:
+        return difflib.SequenceMatcher(None, x.text, y.text).ratio() >= least
+    # The bound is a little low, so that rounding never decides.
+    return 2.0 * _matching(x.text, y.text, math.floor(least * both / 2)) / both >= least
+
+
+def may_reach(claim: str, kinds: np.ndarray, sizes: np.ndarray, words: Sequence[frozenset[str]], least: float) -> np.ndarray:
+    """Places of those claims, given by their kinds, sizes and words, that at_least() can be true for: their characters, or their words, allow it."""
+    x = claim_of(claim)
+    chars = 2.0 * np.minimum(kinds, x.kinds).sum(1) >= (least - 1e-9) * (sizes + len(x.text))
+    if not chars.all():
+        for k in np.flatnonzero(~chars):
+            n = len(words[k] & x.words)
+            chars[k] = n >= (least - 1e-9) * (len(words[k]) + len(x.words) - n)
+    return np.flatnonzero(chars)
+
+
 def claim_similarity(a: str, b: str) -> float:
     """The larger of token Jaccard and the sequence ratio of the normalised texts."""
     a, b = norm(a), norm(b)

@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.similarity import claim_similarity, is_long, related, stitch, tokens
+from ..functions.similarity import KINDS, at_least, claim_of, is_long, may_reach, related, stitch, tokens
 from .ledger import LAST, STATUS_RANK, THEME_CONFIDENCE, THEME_TYPE_SCORE, TYPE_RANK
 
 #: Fixed limits, in milliseconds, rows, words and characters.
@@ -61,6 +63,34 @@ def _fold(df: DataFrame, keys: list[str], schema: str, order: list[str], f: Call
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def _fold_rows(df: DataFrame, schema: str, f: Callable[[Iterator[dict]], list[dict]]) -> DataFrame:
+    """f on the rows of each session, by place and item_id; small sessions share their Arrow batches, coming and going."""
+    names = [c.strip("`") for c in T.StructType.fromDDL(schema).names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        kinds: dict[str, pa.DataType] = {"merged": pa.int64()}
+
+        def rows() -> Iterator[dict]:
+            for b in batches:
+                kinds.update(zip(b.schema.names, b.schema.types, strict=True))
+                columns = [b.column(k).to_pylist() for k in range(b.num_columns)]
+                yield from (dict(zip(b.schema.names, r, strict=True)) for r in zip(*columns, strict=True))
+
+        def batch(some: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in some], kinds[c]) for c in names], names=names)
+
+        for _, session in itertools.groupby(rows(), key=lambda r: r["session"]):
+            made += f(session)
+            if len(made) >= OUT_ROWS:
+                yield batch(made)
+                made = []
+        if made:
+            yield batch(made)
+
+    return df.repartition("session").sortWithinPartitions("session", "place", "item_id").mapInArrow(run, schema)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
@@ -229,18 +259,46 @@ def _order(value: int) -> int:
     return value or LAST
 
 
-def duplicates(a: dict, b: dict) -> bool:
-    """Similar claims; or equal or nested quotes of one type; or an equal quote and half-similar claims."""
-    s = claim_similarity(a["claim"], b["claim"])
-    if s >= 0.84:
-        return True
-    qa, qb = set(a["quotes"]), set(b["quotes"])
-    nested = any(x in y or y in x for x in qa for y in qb)
-    return (a["type"] == b["type"] and nested) or (bool(qa & qb) and s >= 0.58)
+class Survivors:
+    """Items in order, and of their claims what tells quickly which of them a new one can duplicate."""
+
+    def __init__(self) -> None:
+        self.items: list[dict] = []
+        self.words: list[frozenset[str]] = []
+        self.kinds, self.sizes = np.zeros((16, KINDS), np.int32), np.zeros(16, np.int64)
+
+    def put(self, x: dict, k: int | None = None) -> None:
+        """x as a new item, or in the place of the k-th."""
+        if k is None:
+            k = len(self.items)
+            self.items.append(x)
+            self.words.append(frozenset())
+            if k == len(self.sizes):
+                self.kinds, self.sizes = np.concatenate([self.kinds, np.zeros_like(self.kinds)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        claim = claim_of(x["claim"])
+        self.items[k], self.words[k], self.kinds[k], self.sizes[k] = x, claim.words, claim.kinds, len(claim.text)
+
+    def first(self, r: dict, least: float) -> int | None:
+        """The first item that r duplicates: by claims similar by least; or equal or nested quotes of one type; or an equal quote and half-similar claims."""
+        n = len(self.items)
+        if not n:
+            return None
+        like = iter(may_reach(r["claim"], self.kinds[:n], self.sizes[:n], self.words, least).tolist())
+        near = next(like, n)
+        for k, x in enumerate(self.items):
+            if x["type"] == r["type"] and any(p in q or q in p for p in x["quotes"] for q in r["quotes"]):
+                return k
+            if k == near:
+                if at_least(x["claim"], r["claim"], least):
+                    return k
+                near = next(like, n)
+            if not set(r["quotes"]).isdisjoint(x["quotes"]) and at_least(x["claim"], r["claim"], min(least, 0.58)):
+                return k
+        return None
 
 
 def _rank(x: dict) -> tuple:
-    return TYPE_RANK.get(x["type"], 0), STATUS_RANK.get(x["status"], 0), len(x["quotes"]), x["source_order"]
+    return TYPE_RANK.get(x["type"], 0), STATUS_RANK.get(x["status"], 0), len(x["quotes"]), x["source_order"] or 0
 
 
 def absorb(a: dict, b: dict) -> dict:
@@ -257,20 +315,16 @@ def greedy_dedup(items: DataFrame) -> DataFrame:
     Held between batches: the session's survivors.
     """
 
-    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[dict] = []
-        for rows in parts:
-            for r in rows.drop(columns="place").to_dict("records"):
-                r |= {"quotes": list(r["quotes"]), "owners": list(r["owners"]), "merged": 1}
-                k = next((k for k, x in enumerate(kept) if duplicates(x, r)), None)
-                if k is None:
-                    kept.append(r)
-                else:
-                    kept[k] = absorb(kept[k], r)
-        yield pd.DataFrame(sorted(kept, key=lambda x: _order(x["source_order"])))
+    def f(rows: Iterator[dict]) -> list[dict]:
+        kept = Survivors()
+        for r in rows:
+            r |= {"quotes": r["quotes"] or [], "owners": r["owners"] or [], "merged": 1}
+            k = kept.first(r, 0.84)
+            kept.put(r if k is None else absorb(kept.items[k], r), k)
+        return sorted(kept.items, key=lambda x: _order(x["source_order"]))
 
     ready = items.withColumn("place", F.when(F.col("source_order") > 0, F.col("source_order")).otherwise(LAST))
-    return _fold(ready, ["session"], _ddl(items) + ", merged long", ["place", "item_id"], f)
+    return _fold_rows(ready, _ddl(items) + ", merged long", f)
 
 
 def diverse_selection(items: DataFrame, limit: int = 7) -> DataFrame:
@@ -282,28 +336,27 @@ def diverse_selection(items: DataFrame, limit: int = 7) -> DataFrame:
     def score(x: dict) -> tuple:
         return THEME_CONFIDENCE.get(x["confidence"], 2), THEME_TYPE_SCORE.get(x["type"], 0), len(x["quotes"])
 
-    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        distinct: list[dict] = []
-        for r in (r for rows in parts for r in rows.to_dict("records")):
-            k = next((k for k, x in enumerate(distinct) if duplicates(x, r) or claim_similarity(x["claim"], r["claim"]) >= 0.80), None)
-            if k is None:
-                distinct.append(r)
-            elif score(r) > score(distinct[k]):
-                distinct[k] = r
+    def f(rows: Iterator[dict]) -> list[dict]:
+        kept = Survivors()
+        for r in rows:
+            r["quotes"] = r["quotes"] or []
+            k = kept.first(r, 0.80)
+            if k is None or score(r) > score(kept.items[k]):
+                kept.put(r, k)
+        distinct = kept.items
         if len(distinct) > limit:
             spots = min(5, limit)
             chosen = list(dict.fromkeys(round(i * (len(distinct) - 1) / max(1, spots - 1)) for i in range(spots)))
             for k in sorted(range(len(distinct)), key=lambda k: score(distinct[k]), reverse=True):
-                if len(chosen) < limit and k not in chosen and all(claim_similarity(distinct[k]["claim"], distinct[c]["claim"]) < 0.72 for c in chosen):
+                if len(chosen) < limit and k not in chosen and not any(at_least(distinct[k]["claim"], distinct[c]["claim"], 0.72) for c in chosen):
                     chosen.append(k)
             chosen += [k for k in range(len(distinct)) if k not in chosen][: limit - len(chosen)]
             distinct = [distinct[k] for k in chosen]
-        out = sorted(distinct, key=lambda x: (_order(x["source_order"]), x["item_id"]))
-        yield pd.DataFrame({"session": [x["session"] for x in out], "item_id": [x["item_id"] for x in out]})
+        return sorted(distinct, key=lambda x: (_order(x["source_order"]), x["item_id"]))
 
     live = items.where(F.col("type").isin(*THEME_TYPE_SCORE) & (F.trim("claim") != "")).withColumn("place", F.when(F.col("source_order") > 0, F.col("source_order")).otherwise(LAST))
     kinds = dict(items.dtypes)
-    return _fold(live, ["session"], f"session {kinds['session']}, item_id {kinds['item_id']}", ["place", "item_id"], f)
+    return _fold_rows(live, f"session {kinds['session']}, item_id {kinds['item_id']}", f)
 
 
 def pack_lines(lines: DataFrame, limit: int) -> DataFrame:
