@@ -6,8 +6,12 @@ proofs: session, item_id, proof_ord, quote, timestamp. lines: session, line, tim
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ STATUS_RANK = {"active": 4, "open": 3, "completed": 2, "superseded": 1}
 THEME_TYPE_SCORE = {"fact": 5, "participant_claim": 4, "recommendation": 3, "proposal": 2, "hypothesis": 1}
 THEME_CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 LAST = 10**9
+#: Tokens whose numbers of claims order them, the most frequent ones (the order bears on the cost alone), and the longs of a claim's mark.
+MOST_COMMON, MARK = 200_000, 8
 #: Characters of a transcript in which its date stands.
 HEAD_CHARS = 3000
 
@@ -270,24 +276,52 @@ def duplicate_pairs(items: DataFrame, least: float = 0.84, by: Sequence[str] = (
 
     a and b are representatives: n claims of the same words are one here, see claim_classes() for the members. item_id is unique within by.
     Prefix filtering: in one global order of tokens, rarest first, two such sets share a token among their first
-    size - ceil(least * size) + 1 ones. So only those are joined on; lengths must fit, and places leave room for enough shared tokens.
+    size - ceil(least * size) + 1 ones. So only those are joined on; lengths must fit, and places leave room for enough shared tokens. Tokens cross as 64-bit
+    hashes, and only prefixes do; texts of the few pairs that are left decide. Of two sets at least as many tokens are in one alone as the bits in which
+    their marks differ, a mark having a bit set where an odd number of tokens fall on it: that rules out most pairs inside the join.
     """
     every = claim_tokens(items, by)
-    first = every.groupBy(*by, "set").agg(F.min("item_id").alias("item_id"))
-    t = every.alias("t").join(first.alias("r"), [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "set", "item_id")], "left_semi").select(*by, "item_id", "tokens")
-    flat = t.select(*by, "item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rank = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    nth = F.row_number().over(Window.partitionBy(*by, "item_id").orderBy("df", "token"))
-    pre = flat.join(rank, "token").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*by, "item_id", "n", "nth", "token")
+    hashed = every.select(*by, "item_id", "set", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
+    df = hashed.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    common = df.where("df > 1").orderBy(F.desc("df"), "token").limit(MOST_COMMON).toArrow()
+    token = common.column("token").to_numpy()
+    known = items.sparkSession.sparkContext.broadcast((np.sort(token), (len(token) - np.argsort(token)).astype(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, level = known.value
+        for b in batches:
+            column = b.column(b.schema.get_field_index("tokens"))
+            flat, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
+            at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
+            place = np.where(tokens[at] == flat, level[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
+            first, marks = [], np.zeros((b.num_rows, MARK), np.int64)
+            for i, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                own, n = flat[low:high], high - low
+                order = np.lexsort((own, place[low:high]))[: n - math.ceil(n * least - 1e-9) + 1]
+                first.append(own[order])
+                odd = np.bincount((own.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * MARK), minlength=64 * MARK) % 2
+                marks[i] = np.packbits(odd.astype(bool)).view(np.int64)
+            keep = [b.column(b.schema.get_field_index(c)) for c in (*by, "item_id", "set")]
+            size = pc.list_value_length(column).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*keep, size, pa.array(first, pa.list_(pa.int64())), *(pa.array(marks[:, k].copy()) for k in range(MARK))], names=[*by, "item_id", "set", "n", "prefix", *bits])
+
+    bits = [f"mark{k}" for k in range(MARK)]
+    kinds = dict(hashed.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "item_id", "set")) + ", n long, prefix array<bigint>, " + ", ".join(f"{c} long" for c in bits)
+    short = hashed.mapInArrow(prefixes, schema)
+    same = F.row_number().over(Window.partitionBy(*by, "set").orderBy("item_id"))
+    pre = short.withColumn("same", same).where("same = 1").select(*by, "item_id", "n", *bits, F.posexplode("prefix").alias("nth", "token"))
     a, b = pre.alias("a"), pre.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "token")] + [F.col("a.item_id") < F.col("b.item_id"), F.col("a.n") >= F.col("b.n") * least, F.col("b.n") >= F.col("a.n") * least]
     # From their first shared token on, two such sets have enough tokens left to be that similar.
-    on.append(1 + F.least(F.col("a.n") - F.col("a.nth"), F.col("b.n") - F.col("b.nth")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    on.append(F.least(F.col("a.n") - F.col("a.nth"), F.col("b.n") - F.col("b.nth")) >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits), F.lit(0))
+    on.append(apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-9)
     cand = a.join(b, on).select(*(F.col(f"a.{c}") for c in by), F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
     j = cand.alias("c")
     for side in ("a", "b"):
         own = [F.col(f"c.{c}").eqNullSafe(F.col(f"{side}.{c}")) for c in by]
-        j = j.join(t.alias(side), [F.col(f"c.{side}") == F.col(f"{side}.item_id"), *own])
+        j = j.join(every.alias(side), [F.col(f"c.{side}") == F.col(f"{side}.item_id"), *own])
     j = j.select(*(F.col(f"c.{c}") for c in by), F.col("c.a"), F.col("c.b"), F.col("a.tokens").alias("ta"), F.col("b.tokens").alias("tb"))
     return j.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select(*by, "a", "b", "similarity")
 

@@ -38,3 +38,27 @@ def test_weekdays_are_worked_out_once(spark):
     d = d.select(ledger.consistent_weekdays(F.col("c"), F.col("t")).alias("c"))
     assert [r.c for r in d.collect()] == ["Зустріч 5 та 7 числа", "", "", ""]
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(") < 10
+
+
+def test_similar_claims_meet_by_short_rows(spark):
+    """Pairs are those of brute force, and what is joined to find them are prefixes of hashes: texts of unlike claims are never in a shuffle of pairs."""
+    import random
+
+    from colloquy.operators import ledger
+
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 60))] for _ in range(60)]
+    claims = [" ".join(w if rng.random() > 0.05 else f"v{rng.randrange(9)}" for w in rng.choice(base)) for _ in range(300)] + ["", " . ", "x", "X!"]
+    lang = [rng.choice(["en", None]) for _ in claims]
+    d = spark.createDataFrame([(k, g, c) for k, (g, c) in enumerate(zip(lang, claims, strict=True))], "item_id long, lang string, claim string")
+    sets, least = {}, {}
+    for k, (g, c) in enumerate(zip(lang, claims, strict=True)):
+        words = frozenset(c.lower().replace("!", " ").replace(".", " ").split())
+        if words and (g, words) not in least:
+            least[g, words] = k
+            sets[k] = g, words
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.84 * len(sets[a][1] | sets[b][1])}
+    found = ledger.duplicate_pairs(d, 0.84, ["lang"])
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapinarrow" in plan.lower() and "bit_count" in plan
