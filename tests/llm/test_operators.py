@@ -633,3 +633,24 @@ def test_weights_are_learnt_from_all_documents(spark, monkeypatch):
     got = by_id(quality_classifier.classify(table(spark, texts), labels))
     toxic, clean = ([got[i].quality__toxic for i in range(600) if (i % 5 == 0) == yes] for yes in (True, False))
     assert min(toxic) > 2 * max(clean) and np.mean(np.array(toxic) > 0.5) > 0.9
+
+
+def test_near_copies_ask_only_likely_pairs(spark):
+    """Signs of sets lose no link, and rule out pairs that share a common passage alone, in blocks of any size, before any text is looked at."""
+    rng = np.random.default_rng(13)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for _ in range(300):
+        a = np.unique(some(int(rng.integers(1, 700))))
+        b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.8, 1))], some(int(len(a) * rng.uniform(0, 0.1)))]))
+        near = near_copies.near_signs(near_copies.signs(a)[:, None], near_copies.signs(b)[:, None], np.array([len(a) + len(b)]))
+        assert near[0] or not near_copies.similar(a, b)
+    passage = some(60)
+    sets = [np.unique(np.concatenate([passage, some(140)])) for _ in range(40)]
+    sets.append(np.unique(np.concatenate([sets[0][:-1], some(1)])))
+    n, m = len(sets), np.stack([near_copies.signs(x) for x in sets])
+    same = lambda v: pa.array(np.full(n, v))
+    node = pa.array(np.arange(n))
+    columns = [same(7), same(0), same(0), node, pa.array([len(x) for x in sets]), same(0), node, same(0), *(pa.array(m[:, k].copy()) for k in range(near_copies.SIGNS))]
+    block = pa.RecordBatch.from_arrays(columns, names=[*"token low high node size at root part".split(), *near_copies._SIGN_COLUMNS])
+    got = [tuple(r.values()) for b in near_copies._second_pass(iter([block])) for r in b.to_pylist()]
+    assert got == [(0, n - 1)]
