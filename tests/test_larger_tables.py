@@ -29,7 +29,7 @@ def test_numbers_of_no_customer(spark, tmp_path, customer):
 
 
 def test_weekdays_are_worked_out_once(spark):
-    """The rule's plan names the claim's normal form once, however many of its steps use it; it was in there over a hundred times."""
+    """The rule's plan names the claim's normal form once, however many of its steps use it; it was in there 82 times."""
     from pyspark.sql import functions as F
 
     from colloquy.operators import ledger
